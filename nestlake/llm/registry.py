@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, exact_dedup
+from . import audio, bpe, exact_dedup, license_scan, mixing, sharding, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = (audio.op2_audio_features, bpe.op5_byte_bpe, exact_dedup.op7_exact_dedup)
+    found = (
+        url_rules.op1_url_rules,
+        audio.op2_audio_features,
+        toxicity.op3_toxicity_grammar,
+        mixing.op4_pfair_mix,
+        bpe.op5_byte_bpe,
+        sharding.op6_hilbert_shards,
+        exact_dedup.op7_exact_dedup,
+        license_scan.op9_license_scan,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op7_exact_dedup": exact_dedup.ORACLE, "op9_license_scan": license_scan.oracle()}
