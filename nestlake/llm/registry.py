@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, exact_dedup, license_scan, mixing, sharding, toxicity, url_rules
+from . import audio, bpe, exact_dedup, license_scan, mixing, near_dedup, sharding, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         sharding.op6_hilbert_shards,
         exact_dedup.op7_exact_dedup,
         license_scan.op9_license_scan,
+        near_dedup.op10_tensored_minhash,
     )
     return {f.__name__: f for f in found}
 
