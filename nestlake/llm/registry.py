@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, exact_dedup, license_scan, mixing, near_dedup, sharding, toxicity, url_rules
+from . import audio, bpe, bwt_dedup, exact_dedup, license_scan, mixing, near_dedup, sharding, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         bpe.op5_byte_bpe,
         sharding.op6_hilbert_shards,
         exact_dedup.op7_exact_dedup,
+        bwt_dedup.op8_column_bwt,
         license_scan.op9_license_scan,
         near_dedup.op10_tensored_minhash,
     )
