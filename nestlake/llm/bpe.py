@@ -192,5 +192,30 @@ def digests(df: DataFrame, ranks: str = RANKS) -> DataFrame:
     )
 
 
+def tokenised(df: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """df's columns but text and n_chars, in df's order, with ids, n_tokens, ids_sha256, decoded_sha256."""
+    common.arrow_rows(df.sparkSession, 500)
+    kept = [c for c in df.columns if c not in ("text", "n_chars")]
+    fields = [f for f in df.schema.fields if f.name in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(*vocabulary(ranks))
+        for batch in batches:
+            ids = [e.ids for e in c.encode(texts_of(batch.column(len(kept))))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[: len(kept)],
+                    pa.array(ids, pa.list_(pa.int32())),
+                    pa.array([len(i) for i in ids], pa.int64()),
+                    pa.array([hashlib.sha256(" ".join([c.decimal[j] for j in i]).encode()).hexdigest() for i in ids], pa.string()),
+                    pa.array([hashlib.sha256(c.decode_bytes(i)).hexdigest() for i in ids], pa.string()),
+                ],
+                [*kept, "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return df.select(*kept, "text").mapInArrow(run, f"{kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.table(spark, sf_dir, "documents"))
