@@ -1,0 +1 @@
+"""Analytics over collections of deeply nested records, as Spark DataFrame plans."""
