@@ -210,3 +210,315 @@ SELECT o_custkey AS c_custkey, order_index::INTEGER AS order_index, count(*) AS
 def pivot_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pivot(frames.customers(spark, sf_dir), "orders.lines", "c_custkey")
     return rows.groupBy("c_custkey", "order_index").agg(F.count(F.lit(1)).alias("n"), F.max("line_index").alias("last_line"))
+
+
+# ---- structures: embeddings as fingerprints, documents as structures, parts as occurrences
+
+
+@register(
+    "similarity_tanimoto",
+    """WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS b FROM embeddings), q AS (SELECT b AS qb FROM w WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+s AS (SELECT vec_id, list_dot_product(b::DOUBLE[], qb::DOUBLE[]) AS shared, list_sum(b) AS na, list_sum(qb) AS nb FROM w, q)
+SELECT vec_id FROM s WHERE shared / (na + nb - shared) >= 0.4""",
+)
+def similarity_tanimoto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tanimoto on sign bits against the first vector, behind the popcount bound."""
+    from .functions import fingerprint as fp
+
+    rows = frames.table(spark, sf_dir, "embeddings").select("vec_id", F.array(fp.from_signs(F.col("embedding"))).alias("bits"))
+    rows = rows.withColumn("count", fp.popcount(F.col("bits")))
+    query = rows.agg(F.min(F.struct("vec_id", "bits", "count")).alias("q")).first()["q"]
+    low, high = fp.popcount_bounds(0.4, query["count"])
+    score = fp.tanimoto(F.col("bits"), fp.literal(list(query["bits"])), F.col("count"), F.lit(query["count"]))
+    return rows.filter(F.col("count").between(low, high)).filter(score >= 0.4).select("vec_id")
+
+
+@register(
+    "similarity_dice",
+    """WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS b FROM embeddings), q AS (SELECT b AS qb FROM w WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+SELECT vec_id FROM w, q WHERE 2 * list_dot_product(b::DOUBLE[], qb::DOUBLE[]) / (list_sum(b) + list_sum(qb)) >= 0.6""",
+)
+def similarity_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import fingerprint as fp
+
+    rows = frames.table(spark, sf_dir, "embeddings").select("vec_id", F.array(fp.from_signs(F.col("embedding"))).alias("bits"))
+    rows = rows.withColumn("count", fp.popcount(F.col("bits")))
+    query = rows.agg(F.min(F.struct("vec_id", "bits", "count")).alias("q")).first()["q"]
+    return rows.filter(fp.dice(F.col("bits"), fp.literal(list(query["bits"])), F.col("count"), F.lit(query["count"])) >= 0.6).select("vec_id")
+
+
+def part_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as structures: global_id is the part's key."""
+    from .functions.chem import TextChemistry
+    from .operators.structures import featurised
+
+    parts = frames.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("structure_id"), F.col("p_name").alias("smiles"))
+    return featurised(parts, TextChemistry()).withColumn("global_id", F.col("structure_id"))
+
+
+@register("screen_verify", "SELECT p_partkey AS global_id FROM part WHERE contains(p_name, 'plate')")
+def screen_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment: bits first, then the text itself."""
+    from .functions.chem import TextChemistry
+    from .operators.structures import containing
+
+    return containing(part_library(spark, sf_dir), "plate", TextChemistry())
+
+
+@register("same_identity", "SELECT p_partkey AS global_id FROM part WHERE lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) = (SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) FROM part WHERE p_partkey = 7)")
+def same_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.chem import TextChemistry
+    from .operators.structures import same
+
+    name = frames.table(spark, sf_dir, "part").filter("p_partkey = 7").first()["p_name"]
+    return same(part_library(spark, sf_dir), f"  {name.upper()} ", TextChemistry())
+
+
+@register("same_parent", "SELECT p_partkey AS global_id FROM part WHERE split_part(lower(p_name), '.', 1) = (SELECT split_part(lower(p_name), '.', 1) FROM part WHERE p_partkey = 7)")
+def same_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.chem import TextChemistry
+    from .operators.structures import same
+
+    name = frames.table(spark, sf_dir, "part").filter("p_partkey = 7").first()["p_name"]
+    return same(part_library(spark, sf_dir), f"{name}.salt", TextChemistry(), parent=True)
+
+
+def part_corpus(spark: SparkSession, sf_dir: str):
+    """Orders as records; each line's part is a structure, its return flag the role."""
+    from .functions.chem import TextChemistry
+    from .plans.corpus import Corpus
+
+    parts = frames.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("smiles"), (F.col("p_partkey") - 1).alias("structure_id"))
+    lines = frames.table(spark, sf_dir, "lineitem").join(parts, "l_partkey", "left")
+    held = F.struct("smiles", F.col("structure_id"), F.col("l_returnflag").alias("reaction_role"), "l_quantity", "l_linenumber")
+    records = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(held)).alias("components"))
+    library = part_library(spark, sf_dir).withColumn("structure_id", F.col("structure_id") - 1).drop("global_id")
+    return Corpus([(records, library)], "o_orderkey", TextChemistry())
+
+
+_HIT = "SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE contains(p_name, 'hot r') AND l_returnflag = 'R'"
+_PART = {"where": some("components", both({"op": "substructure", "path": "smiles", "smarts": "hot r"}, leaf("eq", "reaction_role", "R")))}
+
+
+@register("occurrence_index", _HIT)
+def occurrence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_corpus(spark, sf_dir).compile(_PART, "index")
+
+
+@register("structure_pivot", _HIT)
+def structure_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_corpus(spark, sf_dir).compile(_PART, "pivot")
+
+
+@register("structure_elements", _HIT)
+def structure_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_corpus(spark, sf_dir).compile(_PART, "elements")
+
+
+# ---- tables
+
+
+@register("dense_ids", "SELECT o_orderpriority, row_number() OVER (ORDER BY first) - 1 AS structure_id FROM (SELECT o_orderpriority, min(o_orderkey) AS first FROM orders GROUP BY ALL)")
+def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.structures import first_seen_ids
+
+    return first_seen_ids(frames.table(spark, sf_dir, "orders"), "o_orderpriority", ["o_orderkey"])
+
+
+@register("offsets", "SELECT o_orderdate::DATE AS day, n, (sum(n) OVER (ORDER BY o_orderdate::DATE) - n)::BIGINT AS start FROM (SELECT o_orderdate::DATE AS o_orderdate, count(*) AS n FROM orders GROUP BY 1)")
+def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    sizes = frames.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return tables.offsets(sizes, "day", "n")
+
+
+@register("distinct_on", "SELECT DISTINCT ON (l_orderkey) l_orderkey, l_partkey, l_extendedprice FROM lineitem ORDER BY l_orderkey, l_extendedprice DESC, l_partkey, l_suppkey")
+def distinct_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    df = frames.table(spark, sf_dir, "lineitem")
+    return tables.distinct_on(df, ["l_orderkey"], [F.desc("l_extendedprice"), F.asc("l_partkey"), F.asc("l_suppkey")]).select("l_orderkey", "l_partkey", "l_extendedprice")
+
+
+@register("latest", "SELECT o_custkey, max(o_orderdate) AS o_orderdate, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    return tables.latest(frames.table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+
+
+@register("incremental", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    done = frames.table(spark, sf_dir, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return tables.incremental(frames.table(spark, sf_dir, "customer"), done, ["c_custkey"]).select("c_custkey")
+
+
+@register("orphans", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40)")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    used = frames.table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
+    return tables.orphans(frames.table(spark, sf_dir, "part").select("p_partkey"), [used], "p_partkey")
+
+
+@register("dedup_link", "SELECT count(DISTINCT l_returnflag) AS names, count(*) AS linked, (SELECT count(*) FROM lineitem) AS rows_in FROM lineitem WHERE l_returnflag IS NOT NULL")
+def dedup_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    _, linked = tables.deduplicated_links(frames.table(spark, sf_dir, "lineitem"), "l_returnflag", "flag_id")
+    return linked.agg(F.countDistinct("flag_id").alias("names"), F.count("flag_id").alias("linked"), F.count(F.lit(1)).alias("rows_in"))
+
+
+@register(
+    "merge_changes",
+    """SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'insert' WHEN b.o_custkey IS NULL THEN 'delete' WHEN a.n IS NOT DISTINCT FROM b.n THEN 'keep' ELSE 'update' END AS _change
+FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.o_custkey = b.o_custkey""",
+)
+def merge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    count = lambda s: frames.table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return tables.merged(count("F"), count("O"), ["o_custkey"]).select("o_custkey", "_change")
+
+
+@register(
+    "crossref",
+    """SELECT 'duplicate' AS problem, l_orderkey AS id FROM lineitem WHERE l_linenumber = 1 GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'self', l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey = l_partkey)
+UNION ALL SELECT 'undefined', l_partkey FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1))""",
+)
+def crossref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    lines = frames.table(spark, sf_dir, "lineitem")
+    return tables.cross_references(lines.filter("l_linenumber = 1"), "l_orderkey", lines.select("l_orderkey", F.col("l_partkey").alias("refers_to")))
+
+
+@register("result_difference", "SELECT 'missing' AS side, o_orderkey FROM orders WHERE o_orderstatus = 'P' AND NOT o_totalprice > 250000 UNION ALL SELECT 'extra', o_orderkey FROM orders WHERE o_totalprice > 250000 AND o_orderstatus <> 'P'")
+def result_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    df = frames.table(spark, sf_dir, "orders")
+    return tables.result_difference(df.filter("o_orderstatus = 'P'"), df.filter("o_totalprice > 250000"), "o_orderkey")
+
+
+@register(
+    "fk_chain",
+    "SELECT n_name, count(*) AS n, max(l_quantity) AS top FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY n_name",
+)
+def fk_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign keys from the top table down."""
+    t = lambda n: frames.table(spark, sf_dir, n)
+    rows = t("lineitem").filter("l_returnflag = 'R'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("top"))
+
+
+@register("union_paths", "SELECT c_nationkey AS nation, 'customer' AS via FROM customer UNION SELECT s_nationkey, 'supplier' FROM supplier")
+def union_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    a = frames.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.lit("customer").alias("via"))
+    b = frames.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("via"))
+    return tables.union_paths([a, b], distinct=True)
+
+
+# ---- rules, units, templates, relational form
+
+
+@register(
+    "validate_rules",
+    """SELECT o_orderkey, '' AS trace, 'ERROR' AS severity, 'lines_not_empty' AS rule FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+UNION ALL SELECT o_orderkey, '', 'WARNING', 'o_totalprice_range' FROM orders WHERE NOT o_totalprice BETWEEN 1000 AND 400000
+UNION ALL SELECT l_orderkey, 'lines[' || (i - 1) || ']', 'WARNING', 'l_discount_range' FROM (SELECT l_orderkey, l_discount, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) AS i FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE NOT l_discount BETWEEN 0 AND 0.09""",
+)
+def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import rules
+
+    own = [rules.not_empty("lines"), rules.within("o_totalprice", 1000, 400000), rules.within("l_discount", 0, 0.09, "lines")]
+    return rules.violations(frames.orders(spark, sf_dir), "o_orderkey", own).drop("message")
+
+
+@register(
+    "unit_convert",
+    """SELECT event_id, round(CASE event_id % 4 WHEN 0 THEN value * 5 / 9 - 32 * 5.0 / 9 + 273.15 WHEN 1 THEN value + 273.15 WHEN 2 THEN value END, 6) AS kelvin,
+round(CASE WHEN event_id % 2 = 0 THEN value ELSE 1e7 / nullif(value, 0) END, 4) AS nanometer FROM events""",
+)
+def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import units
+
+    unit = F.element_at(F.array(F.lit("fahrenheit"), F.lit("celsius"), F.lit("kelvin"), F.lit("unknown")), (F.col("event_id") % 4 + 1).cast("int"))
+    wave = F.when(F.col("event_id") % 2 == 0, "nanometer").otherwise("wavenumber")
+    return frames.table(spark, sf_dir, "events").select(
+        "event_id", F.round(units.canonical_value(F.col("value"), unit, "temperature"), 6).alias("kelvin"), F.round(units.canonical_value(F.col("value"), wave, "wavelength"), 4).alias("nanometer")
+    )
+
+
+@register("quantity_parse", "SELECT p_partkey, p_size::DOUBLE AS value, CASE p_partkey % 3 WHEN 0 THEN 'milliliter' WHEN 1 THEN 'gram' ELSE 'hour' END AS unit FROM part")
+def quantity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import units
+
+    text = F.concat(F.col("p_size").cast("string"), F.element_at(F.array(F.lit(" mL"), F.lit("g"), F.lit(" hrs.")), (F.col("p_partkey") % 3 + 1).cast("int")))
+    return frames.table(spark, sf_dir, "part").select("p_partkey", units.parsed(text).alias("q")).select("p_partkey", "q.value", "q.unit")
+
+
+@register("flatten_row", "SELECT o_orderkey, o_orderstatus AS \"state.code\", o_totalprice AS \"state.money.total\" FROM orders")
+def flatten_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    nested = frames.table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("code"), F.struct(F.col("o_totalprice").alias("total")).alias("money")).alias("state"))
+    return tables.flattened(nested)
+
+
+@register("template_fill", "SELECT 'item ' || p_name AS title, p_size::BIGINT AS size FROM part")
+def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import types as T
+
+    from .operators import templates
+
+    kind = T.StructType([T.StructField("title", T.StringType()), T.StructField("size", T.LongType())])
+    return templates.enumerated('{"title": "item $p_name$", "size": $p_size$}', frames.table(spark, sf_dir, "part"), kind)
+
+
+@register("id_rewrite", "SELECT o_orderkey, list_sort(list(md5('s' || chr(31) || l_partkey))) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def id_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's id becomes a canonical one, and the references in orders follow."""
+    from .operators import updates
+
+    parts = frames.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("part_id"))
+    ids = updates.id_map(parts, "part_id", "", seed="s")
+    refs = frames.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("parts"))
+    refs = refs.join(frames.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return updates.rewritten(refs, "o_orderkey", "parts", ids).select("o_orderkey", F.array_sort("parts").alias("parts"))
+
+
+@register(
+    "role_pivot_roundtrip",
+    "SELECT c_custkey, count(o_orderkey) AS orders, sum(n)::BIGINT AS lines FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1",
+)
+def role_pivot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records to tables and back, then counted."""
+    from .operators import relational
+
+    df = frames.customers(spark, sf_dir).select("c_custkey", "c_name", "orders")
+    back = relational.recomposed(relational.decomposed(df, "c_custkey"), df.schema)
+    lines = F.aggregate(F.filter(F.transform("orders", lambda o: F.size(o["lines"])), lambda n: n >= 0), F.lit(0).cast("long"), lambda a, n: a + n)
+    return back.select("c_custkey", F.coalesce(F.size(F.col("orders")), F.lit(0)).cast("long").alias("orders"), F.when(F.size(F.filter(F.transform("orders", lambda o: F.size(o["lines"])), lambda n: n >= 0)) > 0, lines).alias("lines"))
+
+
+@register("submitted_at", "SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_type)) AS event_type FROM events GROUP BY user_id")
+def submitted_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One representative event for each user."""
+    from .operators import tables
+
+    return tables.latest(frames.table(spark, sf_dir, "events"), "user_id", "ts", "event_type")
+
+
+@register("doi_and_ids", "SELECT doc_id, 'reaction-' || md5(doc_id::VARCHAR) AS rid, true AS good, '10.1234/x' || doc_id AS doi FROM documents")
+def doi_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions import identifiers as ids
+
+    docs = frames.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("reaction-"), F.md5(F.col("doc_id").cast("string"))).alias("rid"), F.concat(F.lit(" https://doi.org/10.1234/x"), F.col("doc_id").cast("string"), F.lit(". ")).alias("raw"))
+    return docs.select("doc_id", "rid", ids.is_hex_id(F.col("rid"), "reaction-").alias("good"), ids.doi(F.col("raw")).alias("doi"))
