@@ -4,15 +4,16 @@ Two collections of SIDE blocks of two minhashes each are computed. A table key j
 block of the first with a block of the second, so SIDE * SIDE tables of four minhashes
 come from 4 * SIDE minhash functions instead of 4 * SIDE^2: a square root. Two sets
 meet in some table iff they share a block in both collections; at similarity 0.8 that
-fails with probability 2 * 0.36^SIDE (8e-6 for SIDE = 12).
+fails with probability 2 * 0.36^SIDE (7e-5 for SIDE = 10; 1e-7 at 0.9).
 
 Steps: texts with equal shingle sets are folded; each chunk of rows keeps one leader
 for a key and sends only leaders on, so a key that a third of all rows share arrives
 once from each chunk; leaders and followers are candidate pairs, confirmed on the full
-shingle sets; components follow by large-star and small-star rounds. Buckets that still
-hold several components are then searched again: every pair across components whose
-minhashes do not rule it out is confirmed too. So every pair that shares a table is
-either confirmed, refuted, or already connected; no bucket is capped.
+shingle sets; components follow by large-star and small-star rounds. Leaders may hide two
+followers from each other. So followers are described by their edits against the leader,
+which gives the similarity of two followers exactly (see ``families``): links that need
+no shared edit follow from the best document of a family, others from a prefix filter on
+edits. No bucket is capped, and no group is expanded into its pairs.
 
 Defined results: null and empty texts and texts without words have an empty set and are
 linked with nothing; a text with fewer words than a shingle is one shingle; of a
@@ -32,11 +33,10 @@ from pyspark.sql import functions as F
 from . import common
 
 PERCENT = 80
-SIDE = 12
+SIDE = 10
 HASHES = 4 * SIDE
-#: Agreeing minhashes below which a pair of at least PERCENT similarity is out of the
-#: question (binomial tail under 1e-6 for 48 draws at 0.8).
-LEAST_AGREED = 24
+#: Similarity in percent from which a follower counts as kin of its leader.
+KIN = 40
 #: Documents whose keys are folded together before they are sent on.
 CHUNK_DOCS = 10_000
 #: Followers that one task compares with a copy of their leader.
@@ -143,7 +143,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits of the whole set), sig (48 x 32 bits)."""
+    """doc_id, n_shingles, set_a, set_b (128 bits of the whole set), sig (HASHES x 32 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,76 +169,111 @@ def table_keys(sigs: np.ndarray) -> np.ndarray:
     return mix(first * U(0xC2B2AE3D27D4EB4F) + second + number * U(0x165667B19E3779F9)).reshape(len(sigs), -1)
 
 
-def lead_chunk(docs: np.ndarray, sizes: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
-    """Rows (followed, key, doc, size, leader, leader_size): one leader for each key, and its followers."""
+def planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight together; the upper ones are mostly zeros and compress away."""
+    return np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+LOW = (1 << 40) - 1
+LED = [("bucket", pa.int64()), *((n, pa.binary()) for n in ("key", "doc", "size", "leader", "leader_size"))]
+EDGES = [("follower", pa.bool_()), *((n, pa.int64()) for n in ("key", "leader", "leader_size", "doc", "size"))]
+
+
+def lead_chunk(docs: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, buckets: int) -> list[tuple]:
+    """For each bucket the leader of each of its keys; in a row of their own those who follow a leader.
+
+    A key here is its bucket and 40 bits: keys that collide only add candidates.
+    """
     with np.errstate(over="ignore"):
         keys = table_keys(sigs).ravel()
+    spread = buckets + int(docs.min()) % (1 << 20)
     docs, sizes = np.repeat(docs, SIDE * SIDE), np.repeat(sizes, SIDE * SIDE)
-    order = np.lexsort((docs, keys))
-    keys, docs, sizes = keys[order], docs[order], sizes[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    leader = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
-    fresh = first | (docs != docs[leader])  # a repeated row says nothing new
-    cols = [~first, keys.view(np.int64), docs, sizes, docs[leader], sizes[leader]]
-    return pa.RecordBatch.from_arrays([pa.array(c[fresh]) for c in cols], ["followed", "key", "doc", "size", "leader", "leader_size"])
+    key = ((keys >> U(40)).astype(np.int64) % buckets) << 40 | (keys & U(LOW)).astype(np.int64)
+    order = np.lexsort((docs, key))
+    key, docs, sizes = key[order], docs[order], sizes[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    heads = np.flatnonzero(first)
+    leader = heads[np.cumsum(first) - 1]
+    cut = np.searchsorted(key[heads], np.arange(buckets + 1) << 40)
+    rows = []
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        at = heads[cut[k] : cut[k + 1]]
+        five = np.ascontiguousarray(key[at].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+        rows.append((k, five, planes(docs[at]), planes(sizes[at]), b"", b""))
+    rest = np.flatnonzero(~first & (docs != docs[leader]))  # a repeated row says nothing new
+    for at in np.array_split(rest, len(rest) // 100_000 + 1) if len(rest) else ():
+        rows.append((spread, *map(planes, (key[at], docs[at], sizes[at], docs[leader[at]], sizes[leader[at]]))))
+    return rows
+
+
+def led(buckets: int):
+    """Folds keys over chunks of documents before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                docs, sizes = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+                sigs = np.frombuffer(b"".join(x for b in held for x in b.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
+                held.clear()
+                cols = zip(*lead_chunk(docs, sizes, sigs, buckets), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, LED, strict=True)], [n for n, _ in LED])
 
-LED = "followed boolean, key long, doc long, size long, leader long, leader_size long"
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= CHUNK_DOCS:
+                yield from flush()
+        yield from flush()
 
+    return run
 
-def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folds keys over chunks of documents before anything is shuffled."""
-    held: list[pa.RecordBatch] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held:
-            docs, sizes = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
-            sigs = np.frombuffer(b"".join(x for b in held for x in b.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
-            held.clear()
-            whole = lead_chunk(docs, sizes, sigs)
-            for at in range(0, len(whole), 50_000):
-                yield whole.slice(at, 50_000)
-
-    count = 0
-    for batch in batches:
-        held.append(batch)
-        count += len(batch)
-        if count >= CHUNK_DOCS:
-            yield from flush()
-            count = 0
-    yield from flush()
-
-
-def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (followed, key, doc): leaders of one key follow the first of them."""
-    last: tuple[int, int, int] | None = None
-    for batch in batches:
-        followed, key, doc, size, leader, leader_size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        open_ = np.flatnonzero(~followed)
-        k, d, n = key[open_], doc[open_], size[open_]
-        if len(k):
-            new = np.concatenate([[last is None or k[0] != last[0]], k[1:] != k[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            lead, lead_n = np.where(at >= 0, d[at], last[1] if last else 0), np.where(at >= 0, n[at], last[2] if last else 0)
-            last = (int(k[-1]), int(lead[-1]), int(lead_n[-1]))
-            leader, leader_size = leader.copy(), leader_size.copy()
-            leader[open_], leader_size[open_] = lead, lead_n
-        keep = doc != leader
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, doc, size, leader, leader_size)], ["key", "doc", "size", "leader", "leader_size"])
-
-
-def shared_keys(reps: DataFrame) -> DataFrame:
-    """key, doc, size, leader, leader_size: every document of a shared key but its first."""
+
+def follow(buckets: int):
+    """In a bucket leaders of a key follow the first of them; followers only pass."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        key, doc, size, leader, leader_size = (table.column(n).to_pylist() for n, _ in LED[1:])
+        doc, size = (np.concatenate([from_planes(x) for x in c]) for c in (doc, size))
+        if bucket >= buckets:
+            key, leader, leader_size = (np.concatenate([from_planes(x) for x in c]) for c in (key, leader, leader_size))
+            cols = [np.ones(len(key), bool), key, leader, leader_size, doc, size]
+        else:
+            wide = np.zeros((sum(map(len, key)) // 5, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(b"".join(key), np.uint8).reshape(-1, 5)
+            key = wide.view(np.int64).ravel()
+            order = np.lexsort((doc, key))
+            key, doc, size = key[order], doc[order], size[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+            rest = np.flatnonzero(doc != doc[lead])
+            cols = [np.zeros(len(rest), bool), key[rest] | bucket << 40, doc[lead[rest]], size[lead[rest]], doc[rest], size[rest]]
+        return pa.table([pa.array(np.ascontiguousarray(c), t) for c, (_, t) in zip(cols, EDGES, strict=True)], names=[n for n, _ in EDGES])
+
+    return run
+
+
+def candidate_edges(reps: DataFrame) -> DataFrame:
+    """leader, leader_size, doc, size, times: every document of a shared key under the key's first one."""
     spark = reps.sparkSession
-    common.arrow_rows(spark, 50_000)
-    rows = reps.select("doc_id", "n_shingles", "sig").mapInArrow(led, LED)
-    route = F.when(F.col("followed"), F.xxhash64("key", "doc")).otherwise(F.col("key"))
+    common.arrow_rows(spark, 10_000)
     n = common.shuffle_parts(spark)
-    return common.settle(
-        rows.withColumn("route", route).repartition(n, "route").drop("route").sortWithinPartitions("followed", "key", "doc")
-        .mapInArrow(follow, "key long, doc long, size long, leader long, leader_size long"),
-        "near-keys",
-    )
+    buckets = 4 * max(n, common.parts_for(reps.count() * SIDE * SIDE, 1_000_000))
+    rows = reps.select("doc_id", "n_shingles", "sig").mapInArrow(led(buckets), ", ".join(f"{c} {'long' if c == 'bucket' else 'binary'}" for c, _ in LED))
+    kind = ", ".join(f"{c} {'boolean' if c == 'follower' else 'long'}" for c, _ in EDGES)
+    edges = common.settle(rows.repartition(n, "bucket").groupBy("bucket").applyInArrow(follow(buckets), kind), "near-edges")
+    heads = edges.filter("not follower").drop("follower")
+    # A follower of a chunk's leader follows whom that leader follows under the same key.
+    above = heads.select("key", F.col("doc").alias("leader"), F.col("leader").alias("top"), F.col("leader_size").alias("top_size"))
+    below = edges.filter("follower").join(above, ["key", "leader"], "left")
+    below = below.select(F.coalesce("top", "leader").alias("leader"), F.coalesce("top_size", "leader_size").alias("leader_size"), "doc", "size")
+    both = heads.drop("key").unionByName(below).groupBy("leader", "leader_size", "doc", "size").agg(F.count(F.lit(1)).alias("times"))
+    return common.settle(both, "near-edges")
 
 
 def fits(a: str, b: str):
@@ -246,8 +281,12 @@ def fits(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def compare_sorted(words: int):
-    """Rows sorted by (leader, salt, role): the leader's set first, then its followers."""
+def compare_sorted(words: int, edits: bool):
+    """Rows sorted by (a, salt, role): the leader's set first, then its followers.
+
+    Gives a, b, na, nb, both for each follower, or with ``edits`` the shingles that
+    one of the two has alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leads = None, []
@@ -255,7 +294,7 @@ def compare_sorted(words: int):
             with np.errstate(over="ignore"):
                 sets = shingle_sets(batch.column(4), words)
             lead, salt, role, doc = (batch.column(i).to_pylist() for i in range(4))
-            out = []
+            out, tokens = [], []
             for a, s, r, b, own in zip(lead, salt, role, doc, sets, strict=True):
                 if key != (a, s):
                     key, leads = (a, s), []
@@ -263,18 +302,27 @@ def compare_sorted(words: int):
                     leads.append(own)
                     continue
                 for other in leads:
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(own) + len(other) - both) and both:
-                        out.append((a, b))
-                        break
-            cols = list(zip(*out, strict=True)) if out else [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+                    if edits:
+                        diff = np.setxor1d(own, other, assume_unique=True).view(np.int64)
+                        tokens.append(diff)
+                        out.append((a, b, len(diff)))
+                    else:
+                        out.append((a, b, len(other), len(own), len(np.intersect1d(own, other, assume_unique=True))))
+            if edits:
+                a, b, n = (np.array(c, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))
+                cols = [np.repeat(a, n), np.repeat(b, n), np.concatenate(tokens) if tokens else np.zeros(0, np.int64)]
+                whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "token"])
+                for at in range(0, len(whole), 100_000):
+                    yield whole.slice(at, 100_000)
+            else:
+                cols = list(zip(*out, strict=True)) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "na", "nb", "both"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. pairs: a, b, distinct."""
+def compared(pairs: DataFrame, texts: DataFrame, words: int, edits: bool = False) -> DataFrame:
+    """What ``compare_sorted`` tells of the full sets of each pair. pairs: a, b, distinct."""
     spark = pairs.sparkSession
     common.arrow_rows(spark)
     sizes = common.settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP), "near-sizes")
@@ -283,14 +331,20 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     roles = common.settle(salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("doc_id")), "near-roles")
     leaders = roles.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("doc_id"))
     order = ["a", "salt", "role", "doc_id"]
+    kind = "a long, b long, token long" if edits else "a long, b long, na long, nb long, both long"
     return common.settle(
-        common.settle(roles.unionByName(leaders), "near-roles").join(docs.select("doc_id", "text"), "doc_id").select(*order, "text")
+        common.settle(roles.unionByName(leaders), "near-roles").join(texts.select("doc_id", "text"), "doc_id").select(*order, "text")
         .repartition(common.shuffle_parts(spark), "a", "salt").sortWithinPartitions(*order)
-        .mapInArrow(compare_sorted(words), "a long, b long").distinct(),
-        "near-links",
+        .mapInArrow(compare_sorted(words, edits), kind).distinct(),
+        "near-compared",
     )
 
 
+def similar(both, na, nb):
+    """both / (na + nb - both) >= PERCENT / 100, in whole numbers."""
+    return (100 + PERCENT) * both >= PERCENT * (na + nb)
+
+
 def components(links: DataFrame) -> DataFrame:
     """doc_id, root: the smallest id of each linked document's component.
 
@@ -312,39 +366,88 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def across(keys: DataFrame, roots: DataFrame, reps: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a key but no component, not ruled out by size or minhashes, nor tested.
+def families(stats: DataFrame, roots: DataFrame) -> DataFrame:
+    """base, doc_id, n, worth, root: leaders with the followers they resemble, where components still differ.
 
-    In each such bucket only documents outside its largest component are paired with the rest.
+    worth = (100 + PERCENT) * |doc and base| - PERCENT * |doc|. With E the shingles that a
+    document and the base do not share, |x and y| = |x and base| + |y and base| - |base| +
+    |Ex and Ey| exactly, so x and y are similar iff
+    worth x + worth y + (100 + PERCENT) * |Ex and Ey| >= (100 + PERCENT) * |base|.
     """
-    members = keys.select("key", "doc").unionByName(keys.select("key", F.col("leader").alias("doc"))).distinct()
-    rooted = members.join(roots.withColumnRenamed("doc_id", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    rooted = common.settle(rooted, "near-rooted")
-    mixed = common.settle(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"), "near-mixed")
-    rooted = common.settle(rooted.join(mixed, "key"), "near-rooted")
-    each = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = common.settle(each.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")), "near-main")
-    inner = rooted.join(main, "key")
-    outer = inner.filter("root != main").select("key", F.col("doc").alias("x"), F.col("root").alias("x_root"))
-    rest = inner.select("key", F.col("doc").alias("y"), F.col("root").alias("y_root"), (F.col("root") == F.col("main")).alias("in_main"))
-    sized = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sig")
-    pairs = (
-        common.settle(outer, "near-outer").join(common.settle(rest, "near-rest"), "key")
-        .filter("x_root != y_root and (in_main or x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    )
-    pairs = common.settle(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-    first = pairs.join(sized.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-    second = first.join(sized.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b").filter(fits("na", "nb"))
-    common.arrow_rows(pairs.sparkSession, 10_000)
-    return common.settle(second.select("a", "b", "sa", "sb").mapInArrow(likely, "a long, b long"), "near-likely")
+    k = 100 + PERCENT
+    worth = k * F.col("both") - PERCENT * F.col("n")
+    near = stats.filter((100 + KIN) * F.col("both") >= KIN * (F.col("na") + F.col("nb")))
+    rows = near.select(F.col("a").alias("base"), F.col("na").alias("size"), F.col("b").alias("doc_id"), F.col("nb").alias("n"), "both")
+    own = near.select(F.col("a").alias("base"), F.col("na").alias("size"), F.col("a").alias("doc_id"), F.col("na").alias("n"), F.col("na").alias("both")).distinct()
+    named = rows.unionByName(own).join(roots, "doc_id", "left").select("base", "size", "doc_id", "n", worth.alias("worth"), F.coalesce("root", "doc_id").alias("root"))
+    named = common.settle(named, "near-named")
+    open_ = named.groupBy("base").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("base")
+    return common.settle(named.join(common.settle(open_, "near-open"), "base", "left_semi"), "near-families")
+
 
+def certain(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that need no shared edit: with the document of the highest worth under the same base.
 
-def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps pairs with at least LEAST_AGREED equal minhashes."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
-        yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= LEAST_AGREED))
+    If x and y are such a link, both are one with that document, so these links connect as much as all would.
+    """
+    best = common.settle(rows.groupBy("base").agg(F.max(F.struct("worth", "doc_id", "root")).alias("top")), "near-top")
+    fit = rows.join(best, "base").filter(F.col("worth") + F.col("top.worth") >= (100 + PERCENT) * F.col("size")).filter("doc_id != top.doc_id and root != top.root")
+    return common.settle(fit.select(F.col("top.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-certain")
+
+
+def sharing_edits(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b) of one base and different components that share enough edits for a prefix filter to keep them.
+
+    A pair needs t = ceil((K * |base| - worth x - worth y) / K) shared edits. Edits are
+    ordered by frequency under their base, rarest first; x can only share t of them if
+    it shares one of its first |Ex| - t + 1, and enough must be left behind it.
+    """
+    k = 100 + PERCENT
+    pairs = rows.filter("base != doc_id").select(F.col("base").alias("a"), F.col("doc_id").alias("b"))
+    edits = compared(pairs, texts, words, edits=True).withColumnRenamed("a", "base").withColumnRenamed("b", "doc_id")
+    often = common.settle(edits.groupBy("base", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "near-often")
+    # Edits that one document has alone order first and match nothing: only their number counts.
+    count = edits.groupBy("base", "doc_id").agg(F.count(F.lit(1)).alias("edits"))
+    listed = edits.join(often, ["base", "token"]).groupBy("base", "doc_id").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("held"))
+    best = rows.groupBy("base", "root").agg(F.max("worth").alias("worth"))
+    first = best.groupBy("base").agg(F.max(F.struct("worth", "root")).alias("one"))
+    second = best.join(first, "base").filter("root != one.root").groupBy("base").agg(F.max("worth").alias("other"))
+    top = common.settle(first.join(second, "base").select("base", F.col("one.worth").alias("one"), F.col("one.root").alias("one_root"), "other"), "near-tops")
+    wide = (
+        common.settle(rows.join(common.settle(count, "near-counts"), ["base", "doc_id"]).join(common.settle(listed, "near-listed"), ["base", "doc_id"]), "near-wide").join(top, "base")
+        .withColumn("need", F.ceil((k * F.col("size") - F.col("worth") - F.when(F.col("root") == F.col("one_root"), F.col("other")).otherwise(F.col("one"))) / k))
+        .withColumn("alone", F.col("edits") - F.size("held"))
+        .withColumn("reach", F.least(F.size("held").cast("long"), F.col("edits") - F.greatest("need", F.lit(1)) + 1 - F.col("alone")))
+        .filter("reach > 0")
+    )
+    heads = wide.select("base", "size", "doc_id", "root", "worth", F.size("held").alias("total"), F.posexplode(F.slice("held", 1, F.col("reach").cast("int"))).alias("at", "x"))
+    heads = common.settle(heads.select("base", "size", "doc_id", "root", "worth", F.col("x.token").alias("token"), (F.col("total") - F.col("at")).alias("left")), "near-heads")
+    other = heads.select("base", "token", F.col("doc_id").alias("y"), F.col("root").alias("y_root"), F.col("worth").alias("y_worth"), F.col("left").alias("y_left"))
+    enough = F.col("worth") + F.col("y_worth") + k * F.least("left", "y_left") >= k * F.col("size")
+    found = heads.join(common.settle(other, "near-others"), ["base", "token"]).filter((F.col("root") != F.col("y_root")) & (F.col("doc_id") < F.col("y")) & enough)
+    return common.settle(found.select(F.col("doc_id").alias("a"), F.col("y").alias("b")).distinct(), "near-pairs")
+
+
+def linked(edges: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """doc_id, root of every document that is linked with another."""
+    pairs = edges.filter(fits("size", "leader_size")).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    near = edges.groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.sum("times").alias("times"), F.first("size").alias("n"), F.first("leader_size").alias("m"))
+    # Followers that cannot be similar to their leader may still be kin of it.
+    kin = near.filter((F.col("times") > 1) & (100 * F.least("n", "m") >= KIN * F.greatest("n", "m"))).select("a", "b")
+    stats = compared(common.settle(pairs.unionByName(kin).distinct(), "near-pairs"), texts, words)
+    links = common.settle(stats.filter(similar(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b"), "near-links")
+    roots = components(links)
+    more = certain(families(stats, roots))
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        roots = components(links)
+    rows = families(stats, roots)
+    if rows.limit(1).count():
+        found = compared(sharing_edits(rows, texts, words), texts, words)
+        more = common.settle(found.filter(similar(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b"), "near-links")
+        if more.limit(1).count():
+            roots = components(links.unionByName(more))
+    return roots
 
 
 def report(df: DataFrame, words: int = 5) -> DataFrame:
@@ -357,13 +460,11 @@ def report(df: DataFrame, words: int = 5) -> DataFrame:
     classes = common.settle(classes, "near-classes")
     reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id", "set_a", "set_b"])
     reps = common.settle(reps, "near-reps")
-    keys = shared_keys(reps)
-    pairs = common.settle(keys.filter(fits("size", "leader_size")).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "near-pairs")
-    links = confirmed(pairs, docs, words)
-    roots = components(links)
-    more = across(keys, roots, reps, pairs)
-    if more.limit(1).count():
-        roots = components(links.unionByName(confirmed(more, docs, words)))
+    edges = candidate_edges(reps)
+    # Texts of all that shares a key: cut from the source once, by a sorted join at every size.
+    held = common.settle(edges.select(F.explode(F.array("leader", "doc")).alias("doc_id")).distinct(), "near-held")
+    texts = common.settle(docs.join(held.hint("merge"), "doc_id", "left_semi"), "near-texts")
+    roots = linked(edges, texts, words)
     named = rows.join(classes, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     named = common.settle(named, "near-named")
     return named.join(roots.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
