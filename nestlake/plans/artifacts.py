@@ -71,10 +71,15 @@ def read_stamps(spark: SparkSession, path: str) -> Stamps | None:
     at = f"{path.rstrip('/')}/{STAMPS}"
     if not exists(spark, at):
         return None
+    fs, p = _fs(spark, at)
+    stream = fs.open(p)
     try:
-        return Stamps(**json.loads("".join(r[0] for r in spark.read.text(at).collect())))
+        # Spark's readers skip names that begin with an underscore.
+        return Stamps(**json.loads(spark.sparkContext._jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A").next()))
     except (ValueError, TypeError):
         return None
+    finally:
+        stream.close()
 
 
 def write_artifact(df: DataFrame, path: str, stamps: Stamps, overwrite: bool = False) -> None:
