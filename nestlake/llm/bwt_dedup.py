@@ -18,7 +18,9 @@ are shorter than 2 * LENGTH, so a bucket takes fewer rounds than that.
  2. a minimizer that only one document of the corpus has cannot repeat: its pieces stay home
  3. packs send each different piece once, with its first document; later documents of the
     same pack have the whole piece removed at once
- 4. buckets build their transform and return spans to the packs, which merge and cut
+ 4. buckets build the transform of the pieces that share a window hash with a different
+    piece (equal pieces are one string already) and return spans to the packs, which
+    merge and cut
 
 A minimizer in more than HOT documents sends single windows by their own hash, so a
 passage that a third of all documents share is spread over buckets, and each window
@@ -153,19 +155,44 @@ def transform(strings: list[bytes], cap: int = LENGTH) -> tuple[np.ndarray, np.n
     return symbols.get(), prefixes.get(), owners.get(), sizes.get()
 
 
+def sharing(strings: list[bytes]) -> np.ndarray:
+    """True where a string has a window whose hash another string has too: the others need no transform."""
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    count = np.maximum(0, lengths - LENGTH + 1)
+    owner = np.repeat(np.arange(len(strings)), count)
+    if len(owner) < 2:
+        return np.zeros(len(strings), bool)
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    at = np.repeat(first, count) + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        window = gram_hashes(np.frombuffer(b"".join(strings), np.uint8), LENGTH)[at]
+    order = np.argsort(window, kind="stable")
+    window, owner = window[order], owner[order]
+    heads = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+    several = np.minimum.reduceat(owner, heads) < np.maximum.reduceat(owner, heads)
+    out = np.zeros(len(strings), bool)
+    out[owner[np.repeat(several, np.diff(np.append(heads, len(owner))))]] = True
+    return out
+
+
 def first_documents(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every window of every string (in order): the smallest of ``docs`` among strings that hold it.
 
-    Returns the values and where each string's begin.
+    Returns the values and where each string's begin. Strings must differ.
     """
-    _, lcp, owner, size = transform(strings)
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    begin = np.concatenate([[0], np.cumsum(np.maximum(0, lengths - LENGTH + 1))])
+    count = np.maximum(0, lengths - LENGTH + 1)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    out = np.repeat(docs, count)
+    picked = np.flatnonzero(sharing(strings))
+    if not len(picked):
+        return out, begin
+    _, lcp, owner, size = transform([strings[i] for i in picked.tolist()])
+    owner = picked[owner]
     heads = np.flatnonzero(lcp < LENGTH)
     low = np.minimum.reduceat(docs[owner], heads)
     each = np.repeat(low, np.diff(np.append(heads, len(lcp))))
     whole = size >= LENGTH
-    out = np.empty(begin[-1], np.int64)
     out[begin[owner[whole]] + lengths[owner[whole]] - size[whole]] = each[whole]
     return out, begin
 
