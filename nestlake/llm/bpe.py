@@ -193,9 +193,12 @@ def digests(df: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 
 def tokenised(df: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """df's columns but text and n_chars, in df's order, with ids, n_tokens, ids_sha256, decoded_sha256."""
+    """df's columns but text and n_chars, in df's order, with ids, n_tokens, ids_sha256, decoded_sha256.
+
+    Input columns of these four names are replaced.
+    """
     common.arrow_rows(df.sparkSession, 500)
-    kept = [c for c in df.columns if c not in ("text", "n_chars")]
+    kept = [c for c in df.columns if c.lower() not in ("text", "n_chars", "ids", "n_tokens", "ids_sha256", "decoded_sha256")]
     fields = [f for f in df.schema.fields if f.name in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +217,7 @@ def tokenised(df: DataFrame, ranks: str = RANKS) -> DataFrame:
             )
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return df.select(*kept, "text").mapInArrow(run, f"{kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(*[F.col(f"`{c}`") for c in kept], "text").mapInArrow(run, f"{kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,13 +197,15 @@ def deduplicate(df: DataFrame) -> DataFrame:
     judged = report(df)
     gone = judged.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
     gone = common.settle(gone.filter("not stays or rows > 1"), "exact-gone")
-    plain = df.join(gone.select("doc_id"), "doc_id", "left_anti")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    plain = df.join(gone.select("doc_id"), "doc_id", "left_anti").select(*columns)
     # doc_ids that occur more than once are rare; settle each of their texts by itself.
-    again = df.join(gone.filter("stays").select("doc_id"), "doc_id", "left_semi")
-    again = again.dropDuplicates(["doc_id", "text"]).withColumn("text_sha256", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
-    held = judged.filter("kept").select("doc_id", "text_sha256")
-    again = again.join(held, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(*df.columns)
-    return plain.select(*df.columns).unionByName(again)
+    digest = common.free("_digest", df)
+    normal = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    again = df.join(gone.filter("stays").select("doc_id"), "doc_id", "left_semi").withColumn(digest, F.sha2(normal, 256))
+    held = judged.filter("kept").select("doc_id", F.col("text_sha256").alias(digest))
+    again = again.join(held, ["doc_id", digest], "left_semi").dropDuplicates(["doc_id", digest]).select(*columns)
+    return plain.unionByName(again)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,20 +284,20 @@ def logistic(levels: list[tuple[float, int, int]], steps: int = 60) -> tuple[flo
     return a, b
 
 
-def scored(df: DataFrame, lexicon: dict[str, float], model: tuple[float, float]) -> DataFrame:
-    """df's doc_id and text with evidence and score, in one pass without a shuffle."""
+def scored(df: DataFrame, lexicon: dict[str, float], model: tuple[float, float], names: tuple[str, str] = ("_evidence", "_score")) -> DataFrame:
+    """df with evidence and score under two new names, in one pass without a shuffle."""
     common.arrow_rows(df.sparkSession)
-    names = df.columns
+    added_names, names = names, df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
         for batch in batches:
             evidence = [scorer.evidence(t or "") for t in batch.column(names.index("text")).to_pylist()]
             added = [pa.array(evidence, pa.float64()), pa.array([probability(e, model) for e in evidence], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, "_evidence", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, *added_names])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{kind}, _evidence double, _score double")
+    return df.mapInArrow(run, f"{kind}, `{added_names[0]}` double, `{added_names[1]}` double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -312,7 +312,8 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` below the threshold, all columns unchanged."""
     lexicon, model = learn(docs, labels)
-    return scored(docs, lexicon, model).filter(F.col("_score") < THRESHOLD).select(*docs.columns)
+    names = common.free("_evidence", docs), common.free("_score", docs)
+    return scored(docs, lexicon, model, names).filter(F.col(f"`{names[1]}`") < THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
