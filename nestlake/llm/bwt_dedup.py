@@ -50,7 +50,7 @@ WIDTH = LENGTH - GRAM + 1
 #: Documents in a pack; buckets for each pack; documents from which a minimizer is hot.
 PACK_DOCS, BUCKETS, HOT = 1000, 4, 2000
 #: Window starts whose hashes are held at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 #: Bytes of a column from which it is kept in a temporary file between rounds.
 IN_MEMORY = 64 << 20
 
@@ -226,20 +226,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
-def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Bytes, and for each window start in them its row and offset. Long texts come in overlapping parts."""
+def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bytes of texts laid end to end, and for each its place there, number of windows, row and offset.
+
+    Long texts come in overlapping parts, so that a block has a bounded size.
+    """
     held, size = [], 0
     parts = ((r, a, t[a : a + BLOCK + LENGTH - 1]) for r, t in enumerate(texts) for a in range(0, max(0, len(t) - LENGTH + 1), BLOCK))
 
     def whole():
-        data = np.frombuffer(b"".join(t for _, _, t in held), np.uint8)
         count = np.fromiter((len(t) - LENGTH + 1 for _, _, t in held), np.int64, len(held))
-        size = count + LENGTH - 1
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        row = np.repeat(np.fromiter((r for r, _, _ in held), np.int64, len(held)), count)
-        start = np.repeat(np.fromiter((a for _, a, _ in held), np.int64, len(held)), count) + step
-        return data, np.repeat(first, count) + step, row, start
+        first = np.concatenate([[0], np.cumsum(count + LENGTH - 1)[:-1]])
+        row, start = (np.fromiter((x[k] for x in held), np.int64, len(held)) for k in (0, 1))
+        return np.frombuffer(b"".join(t for _, _, t in held), np.uint8), first, count, row, start
 
     for part in parts:
         held.append(part)
@@ -251,17 +250,27 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield whole()
 
 
-def runs(texts: list[bytes]):
-    """Minimizer, row, first window and number of windows of each piece; with the block's bytes and places."""
-    for data, at, row, start in blocks(texts):
-        low = sliding_min(gram_hashes(data, GRAM), WIDTH)[at]
-        edge = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]))
-        count = np.diff(np.append(edge, len(low)))
-        parts = -(-count // WIDTH)  # periodic text: cut what is too long
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = np.repeat(edge, parts) + nth * WIDTH
-        count = np.minimum(WIDTH, np.repeat(edge + count, parts) - first)
-        yield low[first], row[first], start[first], count, data, at[first]
+def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Minimizer, row, first window and number of windows of each piece; the block's bytes and the piece's place there.
+
+    Rows never decrease.
+    """
+    for data, first, windows, row, start in blocks(texts):
+        low = sliding_min(gram_hashes(data, GRAM), WIDTH)
+        edge = np.flatnonzero(low[1:] != low[:-1]) + 1
+        edge = np.union1d(edge, first)
+        part = np.searchsorted(first, edge, "right") - 1
+        last = first[part] + windows[part]
+        inside = edge < last  # behind it windows would reach into the next text
+        end = np.minimum(np.append(edge[1:], len(low)), last)[inside]
+        edge, part = edge[inside], part[inside]
+        count = end - edge
+        cuts = -(-count // WIDTH)  # periodic text: cut what is too long
+        if cuts.max(initial=1) > 1:
+            nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            edge, part, end = np.repeat(edge, cuts) + nth * WIDTH, np.repeat(part, cuts), np.repeat(end, cuts)
+            count = np.minimum(WIDTH, end - edge)
+        yield low[edge], row[part], start[part] + edge - first[part], count, data, edge
 
 
 def rows_of(table: pa.Table) -> tuple[list[int], list[bytes]]:
@@ -272,27 +281,23 @@ def rows_of(table: pa.Table) -> tuple[list[int], list[bytes]]:
     return [docs[i] for i in order], [texts[i] for i in order]
 
 
-def reported(texts: list[bytes], docs: list[int], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, low 40 bits and number of documents of each different minimizer, sorted."""
-    ids = np.unique(np.array(docs, np.int64), return_inverse=True)[1] if docs else np.zeros(0, np.int64)
-    found = [_pairs(low, ids[row]) for low, row, *_ in runs(texts)]
+def reported(found: list[tuple[np.ndarray, ...]], docs: list[int], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From ``runs``: bucket and low 40 bits of each different minimizer as one sorted key, number of
+    documents that have it, and each run's place among the keys."""
     if not found:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))
-    low, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-    low, doc = _pairs(low, doc)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    low, row = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    doc = np.unique(np.array(docs, np.int64), return_inverse=True)[1][row]
     bucket, rest = bucket_of(low, n_buckets)
-    order = np.lexsort((rest, bucket))
-    bucket, rest = bucket[order], rest[order]
-    head = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (rest[1:] != rest[:-1])]))
-    return bucket[head], rest[head], np.minimum(255, np.diff(np.append(head, len(rest)))).astype(np.uint8)
-
-
-def _pairs(low: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs."""
-    order = np.lexsort((doc, low))
-    low, doc = low[order], doc[order]
-    keep = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])])[: len(low)]
-    return low[keep], doc[keep]
+    key = bucket.astype(np.uint64) << U(40) | rest
+    order = np.argsort(key, kind="stable")  # documents of one key stay in their order
+    key, doc = key[order], doc[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    other = first | np.concatenate([[True], doc[1:] != doc[:-1]])
+    heads = np.flatnonzero(first)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return key[heads], np.minimum(255, np.add.reduceat(other.astype(np.int64), heads)).astype(np.uint8), place
 
 
 def bucket_of(low: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +323,8 @@ def report_minimizers(n_buckets: int):
         pack = table.column("pack")[0].as_py()
         docs, texts = rows_of(table)
         with np.errstate(over="ignore"):
-            bucket, rest, count = reported(texts, docs, n_buckets)
+            key, count, _ = reported(list(runs(texts)), docs, n_buckets)
+        bucket, rest = (key >> U(40)).astype(np.int64), key & U((1 << 40) - 1)
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
         ends = np.append(cut[1:], len(bucket))
         rows = [(int(bucket[a]), pack, five(rest[a:b]), count[a:b].tobytes()) for a, b in zip(cut.tolist(), ends.tolist(), strict=False)]
@@ -357,21 +363,21 @@ def send_pieces(n_buckets: int, n_judges: int):
         pack = texts_table.column("pack")[0].as_py()
         docs, texts = rows_of(texts_table)
         with np.errstate(over="ignore"):
-            bucket, rest, _ = reported(texts, docs, n_judges)
+            found = list(runs(texts))
+            _, _, place = reported(found, docs, n_judges)
             told = dict(zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist(), strict=True))
-            flags = np.frombuffer(b"".join(zlib.decompress(told[b]) for b in sorted(told)), np.uint8)
-            keys = bucket.astype(np.uint64) << U(40) | rest
+            flags = np.frombuffer(b"".join(zlib.decompress(told[b]) for b in sorted(told)), np.uint8)[place]
             out: dict[bytes, list] = {}  # piece -> [bucket, first doc, places of that doc]
             gone: list[tuple[int, int, int]] = []  # row, start, end of what a later document of the pack has
-            for low, row, start, count, data, at in runs(texts):
-                b, r = bucket_of(low, n_judges)
-                flag = flags[np.searchsorted(keys, b.astype(np.uint64) << U(40) | r)]
-                picked = flag > 0
+            done = 0
+            for low, row, start, count, data, at in found:
+                flag = flags[done : done + len(low)]
+                done += len(low)
+                picked = flag == 1
                 hot = np.flatnonzero(flag == 2)
                 own = np.zeros(0, np.uint64)
                 if len(hot):  # single windows, by their own hash
                     own = gram_hashes(data, LENGTH)
-                    picked[hot] = False
                 lows = (low % U(n_buckets)).astype(np.int64)
                 raw = data.tobytes()
                 todo = [(raw[a : a + c + LENGTH - 1], k, i, s) for a, c, k, i, s in zip(*(x[picked].tolist() for x in (at, count, lows, row, start)), strict=True)]
@@ -507,3 +513,16 @@ def deduplicated(df: DataFrame, keep_bytes: bool = True) -> DataFrame:
 
 def op8_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(common.table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS s FROM d WHERE length(h) >= 100)),
+f AS (SELECT g, min(doc_id) AS first FROM k GROUP BY g),
+hit AS (SELECT k.doc_id, k.s, k.s > coalesce(lag(k.s) OVER (PARTITION BY k.doc_id ORDER BY k.s) + 50, -1) AS new FROM k JOIN f USING (g) WHERE f.first < k.doc_id),
+span AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM hit) GROUP BY doc_id, n),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS held FROM span),
+kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * held + 1, 2 * (a - held)), '' ORDER BY a) || substr(max(h), 2 * max(b) + 1) AS rest FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

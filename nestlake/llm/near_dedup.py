@@ -350,9 +350,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds until the edges are stars around their minimum.
     """
-    state, edges = None, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     edges = common.settle(edges, "near-edges")
     while True:
+        n, ups = edges.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+        if n == ups and not edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
+            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = common.settle(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "near-low")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -360,10 +363,6 @@ def components(links: DataFrame) -> DataFrame:
         low = common.settle(large.groupBy("u").agg(F.min("v").alias("m")), "near-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = common.settle(small.filter("u != v").distinct(), "near-edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
-        state = now
 
 
 def families(stats: DataFrame, roots: DataFrame) -> DataFrame:
@@ -480,3 +479,16 @@ def deduplicate(df: DataFrame, words: int = 5) -> DataFrame:
 
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(common.table(spark, sf_dir, "documents"), words=2)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) > 1 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) ELSE ws END AS held FROM w),
+g AS (SELECT doc_id, unnest(held) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= 80 * (len(a.held) + len(b.held) - c)),
+pairs AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT x, y FROM pairs UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON pairs.x = reach.y)
+SELECT doc_id, len(held)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id <= coalesce(low, doc_id) AS kept
+FROM s LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) ON x = doc_id
+"""

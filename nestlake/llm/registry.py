@@ -28,4 +28,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE, "op9_license_scan": license_scan.oracle()}
+    return {
+        "op7_exact_dedup": exact_dedup.ORACLE,
+        "op8_column_bwt": bwt_dedup.ORACLE,
+        "op9_license_scan": license_scan.oracle(),
+        "op10_tensored_minhash": near_dedup.ORACLE,
+    }
