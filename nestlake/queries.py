@@ -522,3 +522,47 @@ def doi_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = frames.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("reaction-"), F.md5(F.col("doc_id").cast("string"))).alias("rid"), F.concat(F.lit(" https://doi.org/10.1234/x"), F.col("doc_id").cast("string"), F.lit(". ")).alias("raw"))
     return docs.select("doc_id", "rid", ids.is_hex_id(F.col("rid"), "reaction-").alias("good"), ids.doi(F.col("raw")).alias("doi"))
+
+
+# ---- projection of records, message rows
+
+
+@register(
+    "project_quantities",
+    """SELECT event_id, round(CASE event_id % 3 WHEN 0 THEN value + 273.15 WHEN 1 THEN value END, 6) AS heat_kelvin, round(CASE WHEN event_id % 2 = 0 THEN value / 1000 ELSE value END, 6) AS load_grams,
+CASE WHEN event_id % 5 < 4 THEN event_type END AS smiles FROM events""",
+)
+def project_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities to canonical columns and identifiers to one spelling, inside a list."""
+    from .operators.projection import projected
+
+    none = F.lit(None).cast("double")
+    heat = F.struct(F.col("value").alias("value"), none.alias("precision"), F.when(F.col("event_id") % 3 == 0, "CELSIUS").when(F.col("event_id") % 3 == 1, "KELVIN").alias("units"))
+    load = F.struct(F.col("value").alias("value"), none.alias("precision"), F.when(F.col("event_id") % 2 == 0, "MILLIGRAM").otherwise("GRAM").alias("units"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("SMILES", "CXSMILES", "INCHI", "MOLBLOCK", "NAME")]), (F.col("event_id") % 5 + 1).cast("int"))
+    names = F.array(F.struct(kind.alias("type"), F.col("event_type").alias("value")))
+    rows = frames.table(spark, sf_dir, "events").select("event_id", heat.alias("heat"), F.array(F.struct(load.alias("load"), names.alias("identifiers"))).alias("parts"))
+    made = projected(rows, {"heat": "temperature", "load": "mass"})
+    part = F.col("parts")[0]
+    return made.select("event_id", F.round("heat_kelvin", 6).alias("heat_kelvin"), F.round(part["load_grams"], 6).alias("load_grams"), part["smiles"].alias("smiles"))
+
+
+@register(
+    "message_rows",
+    """SELECT l_orderkey AS o_orderkey, 'lines[' || (i - 1) || '].l_partkey' AS key, l_partkey::VARCHAR AS value FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS i FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus FROM orders WHERE o_orderstatus IS NOT NULL""",
+)
+def message_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import tables
+
+    df = frames.orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", F.transform("lines", lambda x: F.struct(x["l_partkey"].alias("l_partkey"))).alias("lines"))
+    return tables.message_rows(df, "o_orderkey")
+
+
+@register("varying_keys", "SELECT DISTINCT k AS key FROM (VALUES ('o_orderstatus'), ('o_custkey')) v(k) WHERE (SELECT count(DISTINCT o_orderstatus) FROM orders) > 1")
+def varying_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that hold one value throughout go."""
+    from .operators import tables
+
+    df = frames.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", F.lit("same").alias("constant"))
+    return tables.varying_keys(tables.message_rows(df, "o_orderkey"), "o_orderkey").select("key").distinct()
