@@ -82,11 +82,9 @@ class Column:
         return np.fromfile(self.file, self.kind, self.size)
 
 
-def _merge(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Insert ``new`` so that it ends up at places ``at`` (ascending)."""
-    out = np.empty(len(old) + len(new), old.dtype)
-    stays = np.ones(len(out), bool)
-    stays[at] = False
+def _merge(old: np.ndarray, stays: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """``new`` at places ``at``, the old values in order at the places that are true in ``stays``."""
+    out = np.empty(len(stays), old.dtype)
     out[stays] = old
     out[at] = new
     return out
@@ -122,37 +120,47 @@ def transform(strings: list[bytes], cap: int = LENGTH) -> tuple[np.ndarray, np.n
 
     every = np.arange(n)
     symbols, prefixes = Column(before(every, 0)), Column(np.zeros(n, np.uint8))
-    owners, sizes = Column(every.astype(np.int32)), Column(np.zeros(n, np.uint16))
     place, active = every.copy(), every[lengths > 0]
-    for length in range(1, int(lengths.max(initial=0)) + 1):
+    longest = int(lengths.max(initial=0))
+    for length in range(1, longest + 1):
         b, lcp = symbols.get(), prefixes.get()
         order = np.argsort(b, kind="stable")
-        rank = np.empty(len(b), np.int64)
-        rank[order] = np.arange(len(b))
+        rank = np.empty(len(b), np.int32)
+        rank[order] = np.arange(len(b), dtype=np.int32)
         row = place[active]
-        by = np.argsort(rank[row], kind="stable")
-        active, row = active[by], row[by]
-        t = rank[row]
-        at = t - int(np.count_nonzero(b == 0)) + n
+        t = rank[row].astype(np.int64)
+        by = np.argsort(t)
+        active, row, t = active[by], row[by], t[by]
+        begun = int(np.count_nonzero(lengths < length))  # strings whose first symbol is in already
+        at = t - begun + n
         mine = b[row]
         up = order[t - 1]
         linked = (t > 0) & (b[up] == mine)
         new = np.zeros(len(row), np.uint8)
         new[linked] = np.minimum(_range_min(lcp, up[linked] + 1, row[linked]).astype(np.int64) + 1, cap)
         down = order[np.minimum(t + 1, len(b) - 1)]
-        fresh = np.zeros(len(b), bool)
-        fresh[row] = True
-        moved = (t + 1 < len(b)) & (b[down] == mine) & ~fresh[down]
+        moved = (t + 1 < len(b)) & (b[down] == mine) & (np.append(t[1:], -1) != t + 1)  # an old row comes next
         nxt = np.minimum(_range_min(lcp, row[moved] + 1, down[moved]).astype(np.int64) + 1, cap)
-        lcp = _merge(lcp, at, new)
+        stays = np.ones(len(b) + len(at), bool)
+        stays[at] = False
+        lcp = _merge(lcp, stays, at, new)
         lcp[at[moved] + 1] = nxt
-        symbols.put(_merge(b, at, before(active, length)))
+        symbols.put(_merge(b, stays, at, before(active, length)))
         prefixes.put(lcp)
-        owners.put(_merge(owners.get(), at, active.astype(np.int32)))
-        sizes.put(_merge(sizes.get(), at, np.full(len(at), length, np.uint16)))
         place[active] = at
         active = active[lengths[active] > length]
-    return symbols.get(), prefixes.get(), owners.get(), sizes.get()
+    # Which suffix a row is follows from the transform alone: walk from each empty suffix to longer ones.
+    b = symbols.get()
+    ahead = np.empty(len(b), np.int64)
+    ahead[np.argsort(b, kind="stable")] = np.arange(len(b)) + n - np.count_nonzero(b == 0)
+    owner, size = np.empty(len(b), np.int64), np.zeros(len(b), np.int64)
+    owner[:n] = every
+    row, active = every, every[lengths > 0]
+    for length in range(1, longest + 1):
+        row = ahead[row[lengths[owner[row]] >= length]]
+        active = active[lengths[active] >= length]
+        owner[row], size[row] = active, length
+    return b, prefixes.get(), owner, size
 
 
 def sharing(strings: list[bytes]) -> np.ndarray:

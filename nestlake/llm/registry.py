@@ -29,6 +29,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_pfair_mix": mixing.ORACLE,
+        "op6_hilbert_shards": sharding.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
         "op8_column_bwt": bwt_dedup.ORACLE,
         "op9_license_scan": license_scan.oracle(),

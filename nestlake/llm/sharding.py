@@ -74,8 +74,9 @@ def frequency_codes(df: DataFrame, column: str, code: str) -> DataFrame:
 
 
 def size_code(size: Column) -> Column:
-    """Logarithmic: eight cells for each doubling."""
-    return F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(size) * 8)).cast("int")
+    """Logarithmic: eight cells for each doubling, from the number's leading bits."""
+    doublings = F.length(F.bin(size)) - 1
+    return F.least(F.lit((1 << BITS) - 1), doublings * 8 + F.floor(size * 8 / F.pow(F.lit(2.0), doublings)) - 8).cast("int")
 
 
 def placed(df: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -115,3 +116,27 @@ def manifest(shards: DataFrame) -> DataFrame:
 
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(common.table(spark, sf_dir, "documents"))
+
+
+#: The same order in SQL: checksums by their table, the curve step by step.
+ORACLE = f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+x AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, lang, source, (length(h) // 2 + 8)::BIGINT AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM x, t),
+a AS (SELECT source, least({(1 << BITS) - 1}, floor((sum(n) OVER (ORDER BY source) - n / 2) * {1 << BITS} / sum(n) OVER ()))::INT AS source_code FROM (SELECT source, count(*) AS n FROM d GROUP BY 1)),
+l AS (SELECT lang, least({(1 << BITS) - 1}, floor((sum(n) OVER (ORDER BY lang) - n / 2) * {1 << BITS} / sum(n) OVER ()))::INT AS lang_code FROM (SELECT lang, count(*) AS n FROM d GROUP BY 1)),
+c AS (SELECT doc_id, size, text_crc32, source_code, lang_code, least({(1 << BITS) - 1}, (length(bin(size)) - 1) * 8 + size * 8 // (1::BIGINT << (length(bin(size)) - 1)) - 8)::INT AS size_code FROM d JOIN a USING (source) JOIN l USING (lang)),
+h(doc_id, k, x0, x1, x2) AS (
+  SELECT doc_id, 0, source_code, lang_code, size_code FROM c
+  UNION ALL
+  SELECT doc_id, k + 1, xor(x0, CASE WHEN up THEN low ELSE swap END), CASE k % 3 WHEN 1 THEN xor(x1, swap) ELSE x1 END, CASE k % 3 WHEN 2 THEN xor(x2, swap) ELSE x2 END
+  FROM (SELECT *, CASE WHEN up THEN 0 ELSE xor(x0, xa) & low END AS swap FROM (SELECT *, (xa >> p) & 1 = 1 AS up, (1 << p) - 1 AS low FROM
+    (SELECT *, {BITS - 1} - k // 3 AS p, CASE k % 3 WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END AS xa FROM h WHERE k < {3 * (BITS - 1)})))
+),
+g AS (SELECT doc_id, x0, xor(x0, x1) AS x1, xor(xor(x0, x1), x2) AS x2 FROM h WHERE k = {3 * (BITS - 1)}),
+f AS (SELECT *, list_reduce(list_prepend(0, range(1, {BITS})), lambda s, p: xor(s, CASE WHEN (x2 >> p) & 1 = 1 THEN (1 << p) - 1 ELSE 0 END)) AS flip FROM g),
+v AS (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, range({BITS - 1}, -1, -1)), lambda s, p: s * 8 + ((xor(x0, flip) >> p) & 1) * 4 + ((xor(x1, flip) >> p) & 1) * 2 + ((xor(x2, flip) >> p) & 1)) AS curve FROM f),
+r AS (SELECT c.*, curve, row_number() OVER (ORDER BY curve, text_crc32, c.doc_id) - 1 AS rank, count(*) OVER () AS n FROM c JOIN v USING (doc_id))
+SELECT doc_id, size, text_crc32, 'rows' AS law, (rank * {SHARDS} // n)::INT AS shard, (rank - (rank * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard, curve, source_code, lang_code, size_code FROM r
+"""
