@@ -117,3 +117,13 @@ def recomposed(tables: dict[str, DataFrame], schema: T.StructType, root: str = "
         return rows.select(*extra, *column(struct, ()))
 
     return build(schema, root).drop("key")
+
+
+def deleted(tables: dict[str, DataFrame], ids: DataFrame, id_column: str, root: str = "record") -> dict[str, DataFrame]:
+    """The tables without the records whose ids are given, and without anything below them."""
+    out = {root: tables[root].join(ids.select(id_column), id_column, "left_anti").select(*tables[root].columns)}
+    for name in sorted((n for n in tables if n != root), key=lambda n: n.count(".")):
+        parent = max((n for n in out if name.startswith(f"{n}.")), key=len)
+        alive = out[parent].select(F.col("key").alias("parent"))
+        out[name] = tables[name].join(alive, "parent", "left_semi").select(*tables[name].columns)
+    return out
