@@ -7,7 +7,8 @@ a compact box in every dimension and file statistics prune on any of them.
 
 The order is made by range partitioning with the document id as the last key: a cell
 that holds a third of all rows is cut like any other. Ranks follow from partition
-counts, not from a global sort in one task.
+counts, not from a global sort in one task. Only the lists of distinct sources and
+languages are summed in one place.
 
 Law: ``rows``; shard sizes in rows differ by at most one. Equal texts with equal
 metadata are neighbours on the curve. Defined results: a null text has size 8 and the
