@@ -457,14 +457,14 @@ def match_pieces(n_buckets: int):
                 elif doc < first[k]:
                     first[k] = doc
             places.append((pack, np.array(which), docs, np.frombuffer(zlib.decompress(seen), np.uint32).reshape(3, -1).astype(np.int64)))
-        strings = list(number)
-        low, begin = first_documents(strings, np.array(first, np.int64))
+        strings, earliest = list(number), np.array(first, np.int64)
+        low, begin = first_documents(strings, earliest)
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
         smallest = np.minimum.reduceat(low, begin[:-1])
         rows = []
         for pack, which, docs, (n, row, start) in places:
             k, doc = which[n], docs[n]
-            whole = np.array(first)[k] < doc  # another document has all of it
+            whole = earliest[k] < doc  # another document has all of it
             spans = [np.stack([row, start, start + lengths[k]], 1)[whole]]
             for j in np.flatnonzero(~whole & (smallest[k] < doc)).tolist():
                 hit = np.flatnonzero(low[begin[k[j]] : begin[k[j] + 1]] < doc[j])
