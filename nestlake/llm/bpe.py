@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Characters handed to the library at once; its results take about 100 bytes a token.
-CHUNK_CHARS = 2_000_000
+#: Characters handed to the library at once; its results take some 200 bytes a token.
+CHUNK_CHARS = 200_000
 
 
 def byte_table() -> list[str]:
@@ -186,6 +186,7 @@ def digests(df: DataFrame, ranks: str = RANKS) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        common.release_memory()
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -197,7 +198,7 @@ def tokenised(df: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     Input columns of these four names are replaced.
     """
-    common.arrow_rows(df.sparkSession, 500)
+    common.arrow_rows(df.sparkSession, 200)
     kept = [c for c in df.columns if c.lower() not in ("text", "n_chars", "ids", "n_tokens", "ids_sha256", "decoded_sha256")]
     fields = [f for f in df.schema.fields if f.name in kept]
 
@@ -215,6 +216,7 @@ def tokenised(df: DataFrame, ranks: str = RANKS) -> DataFrame:
                 ],
                 [*kept, "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        common.release_memory()
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return df.select(*[F.col(f"`{c}`") for c in kept], "text").mapInArrow(run, f"{kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")

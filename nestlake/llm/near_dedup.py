@@ -38,7 +38,7 @@ HASHES = 4 * SIDE
 #: Similarity in percent from which a follower counts as kin of its leader.
 KIN = 40
 #: Documents whose keys are folded together before they are sent on.
-CHUNK_DOCS = 10_000
+CHUNK_DOCS = 5_000
 #: Followers that one task compares with a copy of their leader.
 GROUP = 32
 #: Bytes over which word hashes are computed at once.
@@ -156,6 +156,7 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary())],
                 ["doc_id", "n_shingles", "set_a", "set_b", "sig"],
             )
+        common.release_memory()
 
     return df.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
 
@@ -229,6 +230,7 @@ def led(buckets: int):
             if sum(map(len, held)) >= CHUNK_DOCS:
                 yield from flush()
         yield from flush()
+        common.release_memory()
 
     return run
 

@@ -237,6 +237,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], tuple[f
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int64()))], ["toxic", "found", "marks"]
             )
+        del scorer
+        common.release_memory()
 
     lexicon: dict[str, float] = {}
     if candidates:
@@ -295,6 +297,7 @@ def scored(df: DataFrame, lexicon: dict[str, float], model: tuple[float, float],
             evidence = [scorer.evidence(t or "") for t in batch.column(names.index("text")).to_pylist()]
             added = [pa.array(evidence, pa.float64()), pa.array([probability(e, model) for e in evidence], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, *added_names])
+        common.release_memory()
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{kind}, `{added_names[0]}` double, `{added_names[1]}` double")
