@@ -13,7 +13,9 @@ shingle sets; components follow by large-star and small-star rounds. Leaders may
 followers from each other. So followers are described by their edits against the leader,
 which gives the similarity of two followers exactly (see ``families``): links that need
 no shared edit follow from the best document of a family, others from a prefix filter on
-edits. No bucket is capped, and no group is expanded into its pairs.
+edits. A family holds all partners only of followers at SURE or more, so the others of a
+key elect new leaders until none is left (see ``settled_groups``). No bucket is capped, and
+no group of more than SMALL is expanded into its pairs.
 
 Defined results: null and empty texts and texts without words have an empty set and are
 linked with nothing; a text with fewer words than a shingle is one shingle; of a
@@ -37,6 +39,11 @@ SIDE = 10
 HASHES = 4 * SIDE
 #: Similarity in percent from which a follower counts as kin of its leader.
 KIN = 40
+#: Similarity in percent from which a leader's family holds every partner of a follower:
+#: by the triangle inequality of Jaccard distances a partner is then kin of the leader.
+SURE = 100 + KIN - PERCENT
+#: Documents up to which what is left of a key is compared pair by pair.
+SMALL = 8
 #: Documents whose keys are folded together before they are sent on.
 CHUNK_DOCS = 5_000
 #: Followers that one task compares with a copy of their leader.
@@ -260,8 +267,8 @@ def follow(buckets: int):
     return run
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """leader, leader_size, doc, size, times: every document of a shared key under the key's first one."""
+def candidate_edges(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """leader, leader_size, doc, size: every document of a shared key under the key's first one; the same for each key."""
     spark = reps.sparkSession
     common.arrow_rows(spark, 10_000)
     n = common.shuffle_parts(spark)
@@ -273,14 +280,14 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     # A follower of a chunk's leader follows whom that leader follows under the same key.
     above = heads.select("key", F.col("doc").alias("leader"), F.col("leader").alias("top"), F.col("leader_size").alias("top_size"))
     below = edges.filter("follower").join(above, ["key", "leader"], "left")
-    below = below.select(F.coalesce("top", "leader").alias("leader"), F.coalesce("top_size", "leader_size").alias("leader_size"), "doc", "size")
-    both = heads.drop("key").unionByName(below).groupBy("leader", "leader_size", "doc", "size").agg(F.count(F.lit(1)).alias("times"))
-    return common.settle(both, "near-edges")
+    below = below.select("key", F.coalesce("top", "leader").alias("leader"), F.coalesce("top_size", "leader_size").alias("leader_size"), "doc", "size")
+    both = heads.unionByName(below)
+    return common.settle(both.drop("key").distinct(), "near-edges"), both
 
 
-def fits(a: str, b: str):
+def fits(a: str, b: str, percent: int = PERCENT):
     """Sizes alone allow the similarity."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def compare_sorted(words: int, edits: bool):
@@ -429,15 +436,58 @@ def sharing_edits(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return common.settle(found.select(F.col("doc_id").alias("a"), F.col("y").alias("b")).distinct(), "near-pairs")
 
 
-def linked(edges: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def open_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, doc, size, root, n of the keys whose documents (key, doc, size) still differ in component; of equal groups one."""
+    named = members.distinct().join(roots.withColumnRenamed("doc_id", "doc"), "doc", "left").select("key", "doc", "size", F.coalesce("root", "doc").alias("root"))
+    named = common.settle(named, "near-members")
+    sets = [F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")]
+    groups = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), *sets).filter("lo < hi")
+    groups = common.settle(groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "near-groups")
+    return common.settle(named.join(groups, "key"), "near-open")
+
+
+def settled_groups(stats: DataFrame, links: DataFrame, roots: DataFrame, edges: DataFrame, keyed: DataFrame, texts: DataFrame, words: int):
+    """stats, links and roots with those of all documents that no leader of their key answers for.
+
+    A document at SURE or more of a leader is done: all its partners are kin of that leader.
+    The others of the key elect new leaders, twice as many in each round; a leader is compared
+    with all that are left, so it is done too. Two similar documents of a key are thus
+    compared or kin of one leader in the round where the first of them is done.
+    """
+    sure = lambda df: df.filter((100 + SURE) * F.col("both") >= SURE * (F.col("na") + F.col("nb"))).select("a", "b")
+    done = sure(stats).select(F.col("a").alias("leader"), F.col("b").alias("doc"))
+    loose = common.settle(edges.join(done, ["leader", "doc"], "left_anti").select("leader", "doc"), "near-loose")
+    rest = open_groups(keyed.join(loose, ["leader", "doc"]).select("key", "doc", "size"), roots)
+    count = 1
+    while rest.limit(1).count():
+        few = rest.filter(F.col("n") <= SMALL)
+        other = few.select("key", F.col("doc").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+        pairs = few.join(other, "key").filter((F.col("doc") < F.col("b")) & (F.col("root") != F.col("b_root")) & fits("size", "b_size")).select(F.col("doc").alias("a"), "b")
+        many = rest.filter(F.col("n") > SMALL).select("key", "doc", "size")
+        heads = many.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(count)).alias("salt")).agg(F.min(F.struct("doc", "size")).alias("head"))
+        heads = common.settle(heads.select("key", F.col("head.doc").alias("a"), F.col("head.size").alias("a_size")), "near-heads")
+        led_by = many.join(heads, "key").filter((F.col("doc") != F.col("a")) & fits("size", "a_size", KIN)).select("a", F.col("doc").alias("b"))
+        fresh = common.settle(pairs.unionByName(led_by).distinct().join(stats.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
+        found = compared(fresh, texts, words)
+        stats = common.settle(stats.unionByName(found), "near-stats")
+        more = common.settle(found.filter(similar(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b"), "near-links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            roots = components(links)
+        # Of a key those are done that lead it or are at SURE of one of its leaders.
+        done = heads.join(sure(stats), "a").select("key", F.col("b").alias("doc")).unionByName(heads.select("key", F.col("a").alias("doc"))).distinct()
+        rest = open_groups(many.join(done, ["key", "doc"], "left_anti"), roots)
+        count *= 2
+    return stats, links, roots
+
+
+def linked(edges: DataFrame, keyed: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """doc_id, root of every document that is linked with another."""
-    pairs = edges.filter(fits("size", "leader_size")).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    near = edges.groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.sum("times").alias("times"), F.first("size").alias("n"), F.first("leader_size").alias("m"))
     # Followers that cannot be similar to their leader may still be kin of it.
-    kin = near.filter((F.col("times") > 1) & (100 * F.least("n", "m") >= KIN * F.greatest("n", "m"))).select("a", "b")
-    stats = compared(common.settle(pairs.unionByName(kin).distinct(), "near-pairs"), texts, words)
+    pairs = edges.filter(fits("size", "leader_size", KIN)).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    stats = compared(common.settle(pairs, "near-pairs"), texts, words)
     links = common.settle(stats.filter(similar(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b"), "near-links")
-    roots = components(links)
+    stats, links, roots = settled_groups(stats, links, components(links), edges, keyed, texts, words)
     more = certain(families(stats, roots))
     if more.limit(1).count():
         links = links.unionByName(more)
@@ -461,11 +511,11 @@ def report(df: DataFrame, words: int = 5) -> DataFrame:
     classes = common.settle(classes, "near-classes")
     reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id", "set_a", "set_b"])
     reps = common.settle(reps, "near-reps")
-    edges = candidate_edges(reps)
+    edges, keyed = candidate_edges(reps)
     # Texts of all that shares a key: cut from the source once, by a sorted join at every size.
     held = common.settle(edges.select(F.explode(F.array("leader", "doc")).alias("doc_id")).distinct(), "near-held")
     texts = common.settle(docs.join(held.hint("merge"), "doc_id", "left_semi"), "near-texts")
-    roots = linked(edges, texts, words)
+    roots = linked(edges, keyed, texts, words)
     named = rows.join(classes, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     named = common.settle(named, "near-named")
     return named.join(roots.withColumnRenamed("doc_id", "rep"), "rep", "left").select(

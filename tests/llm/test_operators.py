@@ -428,6 +428,40 @@ def test_near_dedup_in_dense_families(spark, words):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.report(df, words).collect()} == naive_components(rows, words)
 
 
+@pytest.mark.parametrize("small", [8, 1])
+def test_near_dedup_under_foreign_leaders(spark, monkeypatch, small):
+    """Documents with the smallest ids hold just the shingles behind the keys, so they lead every key and are no kin."""
+    monkeypatch.setattr(near_dedup, "SMALL", small, raising=False)
+    rng = np.random.default_rng(7)
+    rows = []
+    for f in range(3):
+        base = [f"f{f}x{k}" for k in range(401)]
+        grams = [f"{a} {b}" for a, b in zip(base, base[1:], strict=False)]
+        with np.errstate(over="ignore"):
+            (own,) = zip(*[near_dedup.shingle_sets(pa.array([g]), 2) for g in grams], strict=True)
+            lows = {int((np.concatenate(own) * m).argmin()) for m in near_dedup.MULTIPLIERS}
+        rows.append((f, " ".join(grams[k] for k in sorted(lows))))
+        for k in range(6):
+            edited = list(base)
+            for at in rng.integers(0, 401, 4 * k):
+                edited[at] = f"e{rng.integers(0, 10**6)}"
+            rows.append((100 + len(rows), " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = naive_components(rows, 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.report(df, 2).collect()} == want
+    assert all(want[f][1] == f for f in range(3)) and any(top != i for i, (_, top) in want.items())
+
+
+@pytest.mark.parametrize("small", [1])
+def test_near_dedup_with_few_words(spark, monkeypatch, small):
+    """Foreign documents share keys, some at both sides of the similarity that makes kin."""
+    monkeypatch.setattr(near_dedup, "SMALL", small, raising=False)
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(rng.choice(list("abcdefgh"), rng.integers(20, 90)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.report(df, 2).collect()} == naive_components(rows, 2)
+
+
 def test_word_hashes_across_windows():
     near_dedup_window = near_dedup.WINDOW
     text = b"a" * (near_dedup_window - 3) + b" straddle " + b"b" * (2 * near_dedup_window) + b" straddle"
