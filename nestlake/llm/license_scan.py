@@ -1,7 +1,8 @@
 """License scanning: phrase places, and an exact set-similarity join with templates.
 
 A text block (line or sentence) meets a template when it holds at least THRESHOLD of
-the template's distinct words. The join is exact. Words are ordered by their frequency
+the template's distinct words. So does a run of words as long as the template (see
+``spans``), whatever line wraps and abbreviations it crosses. The join is exact. Words are ordered by their frequency
 over the whole corpus, rarest first; a block can only qualify if it shares one of the
 template's first ``size - need + 1`` words (prefix filter), has at least ``need`` known
 words (length filter), and has enough words left on both sides of the shared word
@@ -97,8 +98,29 @@ def template_index(spark: SparkSession, seen: dict[str, int], templates, thresho
     return spark.createDataFrame(rows, kind), rank, prefixes
 
 
+def spans(texts: DataFrame, index: DataFrame, vocabulary: list[str], prefixes: set[str], lengths: dict[int, int]) -> DataFrame:
+    """doc_id, text_hash, template, label, size, shared: runs of words that meet a template across block cuts.
+
+    A run has the template's length and the words it may lack. It can only qualify if it
+    holds a prefix word, so the runs around prefix words are all there are.
+    """
+    length = F.create_map(*[F.lit(x) for k, n in lengths.items() for x in (k, n)])[F.col("template")]
+    docs = texts.filter(F.col("text").rlike(any_word(prefixes))).select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("all"))
+    held = docs.withColumn("held", F.array_intersect("all", F.array(*[F.lit(w) for w in vocabulary])))
+    met = (
+        held.select("doc_id", "text_hash", "all", "held", F.explode("held").alias("word"))
+        .join(F.broadcast(index), "word")
+        .filter(F.size(F.array_intersect("held", "words")) >= F.col("need"))
+        .withColumn("run", length + F.col("size") - F.col("need"))
+        .withColumn("at", F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i) == F.col("word")))
+    )
+    starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(F.lit(0), i - F.col("run") + 1), i))))
+    shared = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("all", i + 1, F.col("run")), F.col("words")))))
+    return met.select("doc_id", "text_hash", "template", "label", "size", "need", shared.alias("shared")).filter("shared >= need").drop("need")
+
+
 def near_templates(texts: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, block_no, template, label, containment: all pairs at or above the threshold."""
+    """doc_id, text_hash, block_no (null: a run of words), template, label, containment: all pairs at or above the threshold."""
     spark = texts.sparkSession
     vocabulary = sorted({w for t, _ in templates for w in t.split()})
     index, rank, prefixes = template_index(spark, frequencies(texts, vocabulary), templates, threshold)
@@ -117,6 +139,8 @@ def near_templates(texts: DataFrame, templates=TEMPLATES, threshold: float = THR
         .withColumn("shared", F.size(F.array_intersect("held", "words")))
         .filter("shared >= need")
     )
+    runs = spans(texts, index, vocabulary, prefixes, {k: len(t.split()) for k, (t, _) in enumerate(templates)})
+    pairs = pairs.select("doc_id", "text_hash", "block_no", "template", "label", "size", "shared").unionByName(runs, allowMissingColumns=True)
     return pairs.select("doc_id", "text_hash", "block_no", "template", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct()
 
 

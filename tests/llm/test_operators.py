@@ -381,6 +381,27 @@ def test_filters_lose_no_template(spark):
         assert got == want and want
 
 
+def test_templates_across_wraps_and_abbreviations(spark):
+    """Each template as it is printed: on one line, wrapped, wrapped in comments."""
+    import textwrap
+
+    printed = [
+        "Licensed under the Apache License, Version 2.0", "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")",
+        "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    ]
+    shapes = [[t, "\n".join(textwrap.wrap(t, 75)), "\r\n".join(" * " + x for x in textwrap.wrap(t, 30)), "Before that. " + t + "\n\nAfter that"] for t in printed]
+    apart = [" filler".join([" "] + [f"{w} " + "x " * 40 + "\n" for w in t.split()]) for t, _ in license_scan.TEMPLATES]
+    rows = [(10 * k + i, t) for k, of in enumerate(shapes) for i, t in enumerate(of)] + [(1000 + k, t) for k, t in enumerate(apart)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (_, label) in enumerate(license_scan.TEMPLATES):
+        assert all(label in got[10 * k + i].labels.split(",") for i in range(4)), label
+        assert got[1000 + k].labels == ""
+
+
 # ---- op10
 
 
