@@ -188,6 +188,22 @@ def test_mixing_equals_brute_force(spark):
     assert full
 
 
+@pytest.mark.parametrize("weights", [{"hot": 0.7} | {f"s{k}": 0.001 for k in range(300)}, {"a": 0.504, "b": 0.496}, {"hot": 0.1396} | {f"s{k}": 0.8604 / 19 for k in range(19)}])
+def test_mixing_keeps_the_given_weights(spark, weights):
+    """Less than one block from the exact share, at every slot until a source runs out."""
+    sizes = {s: mixing.BLOCK * max(2, round(600 * w)) for s, w in weights.items()}
+    df = spark.createDataFrame(list(enumerate(s for s, n in sizes.items() for _ in range(n))), "doc_id long, source string")
+    order = [r.source for r in mixing.interleave(df, spark.createDataFrame(list(weights.items()), "_source string, weight double")).collect()]
+    left, served, total = {s: n // mixing.BLOCK for s, n in sizes.items()}, Counter(), sum(weights.values())
+    for n, at in enumerate(range(0, len(order), mixing.BLOCK), 1):
+        assert set(order[at : at + mixing.BLOCK]) == {order[at]}
+        served[order[at]] += 1
+        assert all(abs(served[s] - n * w / total) < 1 + 1e-9 for s, w in weights.items()), n
+        if served[order[at]] == left[order[at]]:
+            break
+    assert n > 100 and len(order) == sum(sizes.values())
+
+
 def test_mixing_keeps_every_row(docs):
     out = mixing.interleave(docs)
     assert out.columns == docs.columns
