@@ -11,11 +11,17 @@ count only as the clause lets them.
 The insult lexicon (words and word beginnings) and the two numbers that turn evidence
 into a probability are learned from at most MAX_TRAIN labelled rows whose
 crc32(doc_id as text) mod 4 is not 2, those with the smallest hash. Near copies in that
-sample count as one when an entry's support is counted. Labels, lang, source and doc_id never enter a score.
+sample count as one when an entry's support is counted. A word beginning stays only if the
+documents that no surer entry explains are toxic too. Labels that any one insult would part
+leave the probability of a single insult open; a prior of PRIOR of the sample, toxic with
+probability PRIOR_TOXIC, settles it. Labels, lang, source and doc_id never enter a score.
+A clause reaches from one mark of CLAUSE_END to the next, however far that is.
 
 Defined results: null and empty texts have no clauses and get the score of no evidence;
-equal texts get equal scores; without usable labels the lexicon is the built-in grammar
-alone; rows without doc_id are left out by the report; other columns are ignored.
+equal texts get equal scores, so ties and repeated rows are scored alike and one by one; very
+long texts are read whole; an empty table gives no rows; without usable labels the lexicon is
+the built-in grammar alone; a row without doc_id is scored like others, its doc_id null and
+held_out false; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +49,9 @@ PREFIXES = range(4, 11)
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE_END = ".!?;\n"
-#: Characters of a clause to either side of a match, should no clause end come earlier.
-REACH = 400
+NEXT_END = re.compile(f"[{re.escape(CLAUSE_END)}]")
+#: Weight of the prior for one insult that nothing softens, as a share of the sample, and its probability.
+PRIOR, PRIOR_TOXIC = 0.02, 0.6
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITGNRo"
 #: Function words of the grammar.
@@ -155,9 +163,10 @@ class Scorer:
         for start in sorted({*hits, *threats}):
             if start < done:
                 continue
-            lo = max([start - REACH, 0, *(text.rfind(c, max(0, start - REACH), start) + 1 for c in CLAUSE_END)])
-            hi = min([start + REACH, len(text), *(p for c in CLAUSE_END if (p := text.find(c, start, start + REACH)) >= 0)])
-            lo = max(lo, done)
+            lo = max(done, 0)
+            lo = max([lo, *(text.rfind(c, lo, start) + 1 for c in CLAUSE_END)])
+            end = NEXT_END.search(text, start)
+            hi = end.start() if end else len(text)
             tokens = [(m.start(), m[0]) for m in WORD.finditer(text, lo, hi)]
             symbols = [INSULT if at in hits else THREAT if at in threats else self.of.get(word, OTHER) for at, word in tokens]
             for (at, _), (_, weight) in zip(tokens, self.machine.run(symbols), strict=True):
@@ -188,14 +197,17 @@ def words_of(text: str) -> set[str]:
 
 
 def sketch(text: str) -> list[int]:
-    """Four minima over the hashed word pairs: near copies share some, other texts hardly any."""
+    """Four minima over the hashed word pairs: near copies share most, other texts hardly any."""
     words = [w.encode() for w in WORD.findall(text.lower())]
     codes = [zlib.crc32(b, zlib.crc32(a)) for a, b in zip(words, words[1:], strict=False)] or [zlib.crc32(b" ".join(words))]
     return [min((c * m & 0xFFFFFFFF) ^ c >> 16 for c in codes) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 
 
 def clusters(sketches: list[list[int]]) -> list[int]:
-    """Number of the cluster of each sketch; sketches that share a minimum belong together."""
+    """Number of the cluster of each sketch; sketches that share two minima belong together.
+
+    One shared minimum is no copy: a passage in both texts gives it, and such links chain.
+    """
     root = list(range(len(sketches)))
 
     def top(i: int) -> int:
@@ -203,13 +215,31 @@ def clusters(sketches: list[list[int]]) -> list[int]:
             root[i] = i = root[root[i]]
         return i
 
-    first: dict[tuple[int, int], int] = {}
+    first: dict[tuple, int] = {}
     for i, minima in enumerate(sketches):
-        for key in enumerate(minima):
+        for key in combinations(enumerate(minima), 2):
             root[top(i)] = top(first.setdefault(key, i))
     return [top(i) for i in range(len(sketches))]
 
 
+def unexplained(strong: dict[str, tuple[int, int]], held: list[tuple[int, list[str]]]) -> list[str]:
+    """Entries, surest first, whose documents beyond those of surer entries are toxic in LEAST_SHARE or are none.
+
+    "lose" is kept by its own merit only, not by the documents that hold "loser".
+    """
+    rows = defaultdict(list)
+    for i, (_, found) in enumerate(held):
+        for e in found:
+            rows[e].append(i)
+    kept, seen = [], set()
+    for e in sorted(strong, key=lambda e: (-strong[e][0] / strong[e][1], -strong[e][0], e)):
+        fresh = [held[i][0] for i in rows[e] if i not in seen]
+        if sum(fresh) >= LEAST_SHARE * len(fresh):
+            kept.append(e)
+            seen.update(rows[e])
+    return kept
+
+
 def entries_of(words: set[str]) -> set[str]:
     return {w + "$" for w in words if len(w) >= 3} | {w[:k] for w in words for k in PREFIXES if len(w) > k}
 
@@ -247,12 +277,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], tuple[f
         counts = found.select("toxic", F.explode("found").alias("entry")).groupBy("entry").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
         strong = {r["entry"]: (r["n1"], r["n"]) for r in counts.filter((F.col("n1") >= LEAST_DOCS) & (F.col("n1") >= LEAST_SHARE * F.col("n"))).collect()}
         keep = F.array(*[F.lit(e) for e in sorted(strong)]).cast("array<string>")
-        held = found.filter("toxic = 1").select("marks", F.array_intersect("found", keep).alias("found")).collect()
-        apart = defaultdict(set)
-        for cluster, row in zip(clusters([r["marks"] for r in held]), held, strict=True):
+        held = found.select("toxic", "marks", F.array_intersect("found", keep).alias("found")).filter(F.size("found") > 0).collect()
+        toxic_rows, apart = [r for r in held if r["toxic"]], defaultdict(set)
+        for cluster, row in zip(clusters([r["marks"] for r in toxic_rows]), toxic_rows, strict=True):
             for entry in row["found"]:
                 apart[entry].add(cluster)
-        lexicon = {e: strong[e][0] / (strong[e][1] + 1.0) for e, own in apart.items() if len(own) >= LEAST_DOCS}
+        supported = {e: strong[e][0] / (strong[e][1] + 1.0) for e, own in apart.items() if len(own) >= LEAST_DOCS}
+        lexicon = {e: supported[e] for e in unexplained({e: strong[e] for e in supported}, [(r["toxic"], r["found"]) for r in held])}
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
@@ -262,10 +293,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], tuple[f
 
     levels = rows.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(weigh, "toxic int, level double")
     levels = levels.groupBy("level").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
-    return lexicon, logistic(sorted((r["level"], r["n1"], r["n"]) for r in levels.collect()))
+    binned = sorted((r["level"], r["n1"], r["n"]) for r in levels.collect())
+    prior = PRIOR * sum(n for _, _, n in binned)
+    return lexicon, logistic([*binned, (1.0, PRIOR_TOXIC * prior, prior)])
 
 
-def logistic(levels: list[tuple[float, int, int]], steps: int = 60) -> tuple[float, float]:
+def logistic(levels: list[tuple[float, float, float]], steps: int = 60) -> tuple[float, float]:
     """Newton's method on binned counts with a small ridge."""
     a, b = -2.0, 1.0
     for _ in range(steps):
@@ -306,9 +339,9 @@ def scored(df: DataFrame, lexicon: dict[str, float], model: tuple[float, float],
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for each document."""
     lexicon, model = learn(docs, labels)
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return scored(rows, lexicon, model).select(
-        "doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"), F.col("_evidence").alias("evidence")
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"), F.col("_evidence").alias("evidence")
     )
 
 
