@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from conftest import compare
+from duck_rows import compare
 from nestlake.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
