@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,17 +46,51 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Open scratch scopes, each with the folders written in it.
+_scopes: list[list[str]] = []
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 
-    This cuts the lineage with files that outlive any executor.
+    This cuts the lineage with files that outlive any executor. Inside ``scratch`` the
+    files go when the scope ends, else they stay as long as the shared folder does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A scope whose settled tables are deleted at its end, but for those it settles with the function it gives.
+
+    Those belong to the scope around it.
+    """
+    own: list[str] = []
+    outer = _scopes[-1] if _scopes else None
+    _scopes.append(own)
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        kept = settle(df, tag)
+        path = own.pop()
+        if outer is not None:
+            outer.append(path)
+        return kept
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in own:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def free(name: str, df: DataFrame) -> str:
     """A column name like ``name`` that ``df`` does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

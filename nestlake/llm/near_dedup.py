@@ -1,30 +1,42 @@
 """Near-duplicate detection by minhash with tensored banding.
 
-Two collections of SIDE blocks of two minhashes each are computed. A table key joins a
-block of the first with a block of the second, so SIDE * SIDE tables of four minhashes
-come from 4 * SIDE minhash functions instead of 4 * SIDE^2: a square root. Two sets
-meet in some table iff they share a block in both collections; at similarity 0.8 that
-fails with probability 2 * 0.36^SIDE (7e-5 for SIDE = 10; 1e-7 at 0.9).
-
-Steps: texts with equal shingle sets are folded; each chunk of rows keeps one leader
-for a key and sends only leaders on, so a key that a third of all rows share arrives
-once from each chunk; leaders and followers are candidate pairs, confirmed on the full
-shingle sets; components follow by large-star and small-star rounds. Leaders may hide two
-followers from each other. So followers are described by their edits against the leader,
-which gives the similarity of two followers exactly (see ``families``): links that need
-no shared edit follow from the best document of a family, others from a prefix filter on
-edits. A family holds all partners only of followers at SURE or more, so the others of a
-key elect new leaders until none is left (see ``settled_groups``). No bucket is capped, and
-no group of more than SMALL is expanded into its pairs.
+Two collections of SIDE blocks of DEPTH minhashes each are computed. A table key joins a
+block of the first with a block of the second, so SIDE * SIDE tables of 2 * DEPTH minhashes
+come from 2 * SIDE * DEPTH minhash functions instead of SIDE^2 * 2 * DEPTH: a square root.
+Two sets meet in some table iff they share a block in both collections; at similarity s that
+fails with probability 2 * (1 - s^DEPTH)^SIDE (5e-5 at 0.8, 8e-7 at 0.85), and sets of
+similarity 0.3 or less, as texts of one language have, meet in 2 % of the cases or fewer.
+
+Steps:
+
+ 1. texts with one sequence of words are folded (128 bits of a cryptographic hash)
+ 2. blocks that one document alone has cannot match and are dropped before keys are formed
+ 3. each pack of documents keeps one leader for a key and sends only leaders on, so a key
+    that a third of all rows share arrives once from each pack; leaders and followers are
+    candidate pairs, confirmed on the full shingle sets
+ 4. components follow by large-star and small-star rounds
+ 5. leaders may hide two followers from each other. A follower at SURE or more of its leader
+    has all its partners in the leader's family: they are described by their edits against
+    the leader, which gives the similarity of two followers exactly (see ``families``); links
+    that need no shared edit follow from the best document of a family, others from a prefix
+    filter on edits. The other followers of a key are compared with each other (see
+    ``settled_groups``): by MATCHES of HASHES minhashes in groups up to GROUP_DOCS, which a pair
+    at 0.8 misses with probability 2e-8, then on the full sets; larger groups elect new leaders
+    until they are small.
+
+No bucket is capped, and no group of documents that resemble its leader is expanded into pairs.
 
 Defined results: null and empty texts and texts without words have an empty set and are
-linked with nothing; a text with fewer words than a shingle is one shingle; of a
-component the smallest doc_id stays; rows that share a doc_id are one document; rows
-without doc_id are left out by the report; other columns are ignored.
+linked with nothing; a text with fewer words than a shingle is one shingle; very long texts
+are hashed whole, in windows; of a component the smallest doc_id stays, so ties and repeated
+rows end under one id; rows that share a doc_id are one document; a row without doc_id is
+reported with its own number of shingles and no component, and stays; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +47,21 @@ from pyspark.sql import functions as F
 from . import common
 
 PERCENT = 80
-SIDE = 10
-HASHES = 4 * SIDE
+SIDE, DEPTH = 20, 4
+HASHES = 2 * SIDE * DEPTH
 #: Similarity in percent from which a follower counts as kin of its leader.
 KIN = 40
 #: Similarity in percent from which a leader's family holds every partner of a follower:
 #: by the triangle inequality of Jaccard distances a partner is then kin of the leader.
 SURE = 100 + KIN - PERCENT
-#: Documents up to which what is left of a key is compared pair by pair.
-SMALL = 8
+#: Equal minhashes (of their low bytes) that two followers need before their sets are compared.
+MATCHES = 100
+#: Documents up to which what is left of a key is compared in one task.
+GROUP_DOCS = 1_000
+#: Tasks over which the rows of one leader are spread in joins.
+SALTS = 16
 #: Documents whose keys are folded together before they are sent on.
-CHUNK_DOCS = 5_000
+PACK_DOCS = 5_000
 #: Followers that one task compares with a copy of their leader.
 GROUP = 32
 #: Bytes over which word hashes are computed at once.
@@ -55,7 +71,7 @@ U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = 0x9E3779B97F4A7C15
-MULTIPLIERS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * U(2) + U(1)
+MULTIPLIERS = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -142,39 +158,114 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """HASHES minima (upper 32 bits) of a set; long sets are taken in slices."""
-    low = np.full(HASHES, 2**64 - 1, np.uint64)
-    for at in range(0, len(s), 1 << 14):
-        np.minimum(low, (s[None, at : at + (1 << 14)] * MULTIPLIERS[:, None]).min(1), out=low)
-    return (low >> U(32)).astype(np.uint32)
+    """HASHES minima of a set, by the upper half of its hashes; long sets are taken in slices."""
+    low, s = np.full(HASHES, 2**32 - 1, np.uint32), (s >> U(32)).astype(np.uint32)
+    for at in range(0, len(s), 1 << 12):
+        np.minimum(low, (s[None, at : at + (1 << 12)] * MULTIPLIERS[:, None]).min(1), out=low)
+    return low
+
+
+def block_codes(low: np.ndarray) -> np.ndarray:
+    """40 bits for each of the 2 * SIDE blocks of n x HASHES minima."""
+    parts = low.reshape(len(low), 2 * SIDE, DEPTH).astype(np.uint64)
+    code = np.zeros(parts.shape[:2], np.uint64)
+    for k in range(DEPTH):
+        code = mix(code * U(0x9FB21C651E98DF25) + parts[:, :, k] + U(1))
+    return code >> U(24)
 
 
 def signatures(df: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits of the whole set), sig (HASHES x 32 bits)."""
+    """doc_id, n_shingles, words (128 bits of the sequence), blocks (2 * SIDE x 40 bits), low (HASHES x 8 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             with np.errstate(over="ignore"):
                 sets = shingle_sets(batch.column(1), words)
-                a = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                b = [int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-                sig = [signature(s).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "set_a", "set_b", "sig"],
-            )
+                sigs = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, HASHES), np.uint32)
+                blocks, low = block_codes(sigs), mix(sigs.astype(np.uint64)).astype(np.uint8)
+            raw = batch.column(1).cast(pa.large_binary()).fill_null(b"").to_pylist()
+            same = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in raw]
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(same, pa.binary()), pa.array(map(five, blocks), pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_shingles", "words", "blocks", "low"])
         common.release_memory()
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+    return df.mapInArrow(run, "doc_id long, n_shingles long, words binary, blocks binary, low binary")
+
+
+def five(values: np.ndarray) -> bytes:
+    """Numbers below 2^40 in five bytes each."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def from_five(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def bucketed(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and low 40 bits of a hash in one number: hashes that collide only add candidates."""
+    return ((x >> U(40)).astype(np.int64) % buckets) << 40 | (x & U(LOW)).astype(np.int64)
+
+
+def pack_blocks(table: pa.Table, buckets: int) -> np.ndarray:
+    """n x 2 * SIDE keys of the blocks of a pack's documents, in the order of its rows."""
+    codes = from_five(b"".join(table.column("blocks").to_pylist())).reshape(-1, 2 * SIDE)
+    return bucketed(mix(codes + np.arange(1, 2 * SIDE + 1, dtype=np.uint64) * U(0xA24BAED4963EE407)), buckets)
+
+
+BLOCKS = [("bucket", pa.int64()), ("pack", pa.int64()), ("key", pa.binary()), ("several", pa.binary())]
+SHARED = [("pack", pa.int64()), ("bucket", pa.int64()), ("shared", pa.binary())]
+
+
+def _table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.table([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def table_keys(sigs: np.ndarray) -> np.ndarray:
-    """n x SIDE^2 keys: every block of the first collection with every one of the second."""
-    pairs = sigs.reshape(len(sigs), 2 * SIDE, 2).astype(np.uint64)
-    blocks = mix(pairs[:, :, 0] << U(32) | pairs[:, :, 1])
-    first, second = blocks[:, :SIDE, None], blocks[:, None, SIDE:]
-    number = np.arange(SIDE * SIDE, dtype=np.uint64).reshape(1, SIDE, SIDE)
-    return mix(first * U(0xC2B2AE3D27D4EB4F) + second + number * U(0x165667B19E3779F9)).reshape(len(sigs), -1)
+def _kind(fields: list[tuple]) -> str:
+    return ", ".join(f"{n} {'long' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'binary'}" for n, t in fields)
+
+
+def report_blocks(buckets: int):
+    """For each bucket the different blocks of a pack, and whether several documents of the pack have one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            key, count = np.unique(pack_blocks(table, buckets), return_counts=True)
+        pack, cut = table.column("pack")[0].as_py(), np.searchsorted(key, np.arange(buckets + 1) << 40)
+        rows = []
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            at = slice(cut[k], cut[k + 1])
+            rows.append((k, pack, five(key[at] & LOW), np.packbits(count[at] > 1).tobytes()))
+        return _table(rows, BLOCKS)
+
+    return run
+
+
+def shared_blocks(table: pa.Table) -> pa.Table:
+    """Tells each pack which of its blocks any other document has, in the order of its question."""
+    bucket, packs, keys, several = (table.column(n).to_pylist() for n, _ in BLOCKS)
+    keys = [from_five(x) for x in keys]
+    many = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)) for k, b in zip(keys, several, strict=True)])
+    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    shared = np.bincount(which, weights=1 + many)[which] > 1
+    cut = np.concatenate([[0], np.cumsum(list(map(len, keys)))]).tolist()
+    return _table([(p, bucket[0], np.packbits(shared[a:b]).tobytes()) for p, a, b in zip(packs, cut[:-1], cut[1:], strict=True)], SHARED)
+
+
+def shared_keys(table: pa.Table, answers: pa.Table, block_buckets: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of every table in which a document of the pack may meet another."""
+    blocks = pack_blocks(table, block_buckets)
+    known = np.unique(blocks)
+    told = dict(zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist(), strict=True))
+    cut = np.searchsorted(known, np.arange(block_buckets + 1) << 40)
+    flags = [np.unpackbits(np.frombuffer(told[k], np.uint8), count=cut[k + 1] - cut[k]) for k in np.flatnonzero(np.diff(cut)).tolist()]
+    on = np.concatenate(flags).astype(bool)[np.searchsorted(known, blocks.ravel())].reshape(blocks.shape)
+    row, i, j = np.nonzero(on[:, :SIDE, None] & on[:, None, SIDE:])
+    codes = from_five(b"".join(table.column("blocks").to_pylist())).reshape(-1, 2 * SIDE)
+    x = codes[row, i] * U(0xC2B2AE3D27D4EB4F) + codes[row, SIDE + j] * U(0x9E6C63D0876A9A47) + (i * SIDE + j).astype(np.uint64) * U(0x165667B19E3779F9)
+    return row, bucketed(mix(x), buckets)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -191,16 +282,11 @@ LED = [("bucket", pa.int64()), *((n, pa.binary()) for n in ("key", "doc", "size"
 EDGES = [("follower", pa.bool_()), *((n, pa.int64()) for n in ("key", "leader", "leader_size", "doc", "size"))]
 
 
-def lead_chunk(docs: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, buckets: int) -> list[tuple]:
-    """For each bucket the leader of each of its keys; in a row of their own those who follow a leader.
-
-    A key here is its bucket and 40 bits: keys that collide only add candidates.
-    """
-    with np.errstate(over="ignore"):
-        keys = table_keys(sigs).ravel()
+def lead_pack(docs: np.ndarray, sizes: np.ndarray, key: np.ndarray, buckets: int) -> list[tuple]:
+    """For each bucket the leader of each of its keys; in rows of their own those who follow a leader."""
+    if not len(key):
+        return []
     spread = buckets + int(docs.min()) % (1 << 20)
-    docs, sizes = np.repeat(docs, SIDE * SIDE), np.repeat(sizes, SIDE * SIDE)
-    key = ((keys >> U(40)).astype(np.int64) % buckets) << 40 | (keys & U(LOW)).astype(np.int64)
     order = np.lexsort((docs, key))
     key, docs, sizes = key[order], docs[order], sizes[order]
     first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -210,34 +296,25 @@ def lead_chunk(docs: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, buckets: i
     rows = []
     for k in np.flatnonzero(np.diff(cut)).tolist():
         at = heads[cut[k] : cut[k + 1]]
-        five = np.ascontiguousarray(key[at].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-        rows.append((k, five, planes(docs[at]), planes(sizes[at]), b"", b""))
+        rows.append((k, five(key[at] & LOW), planes(docs[at]), planes(sizes[at]), b"", b""))
     rest = np.flatnonzero(~first & (docs != docs[leader]))  # a repeated row says nothing new
     for at in np.array_split(rest, len(rest) // 100_000 + 1) if len(rest) else ():
         rows.append((spread, *map(planes, (key[at], docs[at], sizes[at], docs[leader[at]], sizes[leader[at]]))))
     return rows
 
 
-def led(buckets: int):
-    """Folds keys over chunks of documents before anything is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                docs, sizes = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
-                sigs = np.frombuffer(b"".join(x for b in held for x in b.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
-                held.clear()
-                cols = zip(*lead_chunk(docs, sizes, sigs, buckets), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, LED, strict=True)], [n for n, _ in LED])
+def led(block_buckets: int, buckets: int):
+    """Folds the keys of a pack before anything is shuffled."""
 
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= CHUNK_DOCS:
-                yield from flush()
-        yield from flush()
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows or not answers.num_rows:
+            return _table([], LED)
+        with np.errstate(over="ignore"):
+            row, key = shared_keys(table, answers, block_buckets, buckets)
+        docs, sizes = (table.column(n).to_numpy() for n in ("doc_id", "n_shingles"))
+        out = _table(lead_pack(docs[row], sizes[row], key, buckets), LED)
         common.release_memory()
+        return out
 
     return run
 
@@ -253,9 +330,7 @@ def follow(buckets: int):
             key, leader, leader_size = (np.concatenate([from_planes(x) for x in c]) for c in (key, leader, leader_size))
             cols = [np.ones(len(key), bool), key, leader, leader_size, doc, size]
         else:
-            wide = np.zeros((sum(map(len, key)) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(b"".join(key), np.uint8).reshape(-1, 5)
-            key = wide.view(np.int64).ravel()
+            key = from_five(b"".join(key)).view(np.int64)
             order = np.lexsort((doc, key))
             key, doc, size = key[order], doc[order], size[order]
             first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -267,22 +342,24 @@ def follow(buckets: int):
     return run
 
 
-def candidate_edges(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """leader, leader_size, doc, size: every document of a shared key under the key's first one; the same for each key."""
+def candidate_edges(reps: DataFrame) -> DataFrame:
+    """key, leader, leader_size, doc, size: every document of a shared key under the key's first one."""
     spark = reps.sparkSession
-    common.arrow_rows(spark, 10_000)
-    n = common.shuffle_parts(spark)
-    buckets = 4 * max(n, common.parts_for(reps.count() * SIDE * SIDE, 1_000_000))
-    rows = reps.select("doc_id", "n_shingles", "sig").mapInArrow(led(buckets), ", ".join(f"{c} {'long' if c == 'bucket' else 'binary'}" for c, _ in LED))
-    kind = ", ".join(f"{c} {'boolean' if c == 'follower' else 'long'}" for c, _ in EDGES)
-    edges = common.settle(rows.repartition(n, "bucket").groupBy("bucket").applyInArrow(follow(buckets), kind), "near-edges")
-    heads = edges.filter("not follower").drop("follower")
-    # A follower of a chunk's leader follows whom that leader follows under the same key.
-    above = heads.select("key", F.col("doc").alias("leader"), F.col("leader").alias("top"), F.col("leader_size").alias("top_size"))
-    below = edges.filter("follower").join(above, ["key", "leader"], "left")
-    below = below.select("key", F.coalesce("top", "leader").alias("leader"), F.coalesce("top_size", "leader_size").alias("leader_size"), "doc", "size")
-    both = heads.unionByName(below)
-    return common.settle(both.drop("key").distinct(), "near-edges"), both
+    n, count = common.shuffle_parts(spark), reps.count()
+    packs, spread = common.parts_for(count, PACK_DOCS), max(n, common.parts_for(count, 50_000))
+    block_buckets, buckets = spread, 4 * spread
+    with common.scratch(spark) as keep:
+        rows = reps.withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs))).select("pack", "doc_id", "n_shingles", "blocks").groupBy("pack")
+        asked = rows.applyInArrow(report_blocks(block_buckets), _kind(BLOCKS))
+        told = common.settle(asked.groupBy("bucket").applyInArrow(shared_blocks, _kind(SHARED)), "near-shared")
+        keys = rows.cogroup(told.groupBy("pack")).applyInArrow(led(block_buckets, buckets), _kind(LED))
+        edges = common.settle(keys.groupBy("bucket").applyInArrow(follow(buckets), _kind(EDGES)), "near-edges")
+        heads = edges.filter("not follower").drop("follower")
+        # A follower of a pack's leader follows whom that leader follows under the same key.
+        above = heads.select("key", F.col("doc").alias("leader"), F.col("leader").alias("top"), F.col("leader_size").alias("top_size"))
+        below = edges.filter("follower").join(above, ["key", "leader"], "left")
+        below = below.select("key", F.coalesce("top", "leader").alias("leader"), F.coalesce("top_size", "leader_size").alias("leader_size"), "doc", "size")
+        return keep(heads.unionByName(below), "near-keyed")
 
 
 def fits(a: str, b: str, percent: int = PERCENT):
@@ -334,19 +411,19 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, edits: bool = False
     """What ``compare_sorted`` tells of the full sets of each pair. pairs: a, b, distinct."""
     spark = pairs.sparkSession
     common.arrow_rows(spark)
-    sizes = common.settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP), "near-sizes")
-    salts = F.ceil(F.coalesce("n", F.lit(1)) / GROUP)
-    salted = pairs.join(sizes, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).alias("salt"))
-    roles = common.settle(salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("doc_id")), "near-roles")
-    leaders = roles.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("doc_id"))
     order = ["a", "salt", "role", "doc_id"]
     kind = "a long, b long, token long" if edits else "a long, b long, na long, nb long, both long"
-    return common.settle(
-        common.settle(roles.unionByName(leaders), "near-roles").join(texts.select("doc_id", "text"), "doc_id").select(*order, "text")
-        .repartition(common.shuffle_parts(spark), "a", "salt").sortWithinPartitions(*order)
-        .mapInArrow(compare_sorted(words, edits), kind).distinct(),
-        "near-compared",
-    )
+    with common.scratch(spark) as keep:
+        pairs = common.settle(pairs, "near-asked")
+        sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP)
+        salts = F.ceil(F.coalesce("n", F.lit(1)) / GROUP)
+        salted = pairs.join(common.settle(sizes, "near-sizes"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).alias("salt"))
+        followers = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("doc_id"))
+        leaders = salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("doc_id"))
+        roles = common.settle(followers.unionByName(leaders), "near-roles")
+        met = roles.join(texts.select("doc_id", "text"), "doc_id").select(*order, "text")
+        met = met.repartition(common.shuffle_parts(spark), "a", "salt").sortWithinPartitions(*order)
+        return keep(met.mapInArrow(compare_sorted(words, edits), kind).distinct(), "near-compared")
 
 
 def similar(both, na, nb):
@@ -359,19 +436,26 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds until the edges are stars around their minimum.
     """
+    spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    edges = common.settle(edges, "near-edges")
-    while True:
-        n, ups = edges.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
-        if n == ups and not edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
-            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = common.settle(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "near-low")
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = common.settle(large, "near-large")
-        low = common.settle(large.groupBy("u").agg(F.min("v").alias("m")), "near-low")
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = common.settle(small.filter("u != v").distinct(), "near-edges")
+    with common.scratch(spark) as keep:
+        edges = common.settle(edges, "near-edges")
+        while True:
+            n, ups = edges.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+            if n == ups and not edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
+                return keep(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "near-roots")
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+            large = common.settle(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "near-large")
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+            edges = common.settle(small.filter("u != v").distinct(), "near-edges")
+
+
+def attach(rows: DataFrame, small: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with what ``small`` has for their key, one row each; the rows of a key are spread over SALTS tasks."""
+    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(right, [*key, "_salt"]).drop("_salt")
 
 
 def families(stats: DataFrame, roots: DataFrame) -> DataFrame:
@@ -390,7 +474,7 @@ def families(stats: DataFrame, roots: DataFrame) -> DataFrame:
     named = rows.unionByName(own).join(roots, "doc_id", "left").select("base", "size", "doc_id", "n", worth.alias("worth"), F.coalesce("root", "doc_id").alias("root"))
     named = common.settle(named, "near-named")
     open_ = named.groupBy("base").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("base")
-    return common.settle(named.join(common.settle(open_, "near-open"), "base", "left_semi"), "near-families")
+    return common.settle(attach(named, common.settle(open_, "near-open"), "base"), "near-families")
 
 
 def certain(rows: DataFrame) -> DataFrame:
@@ -399,7 +483,7 @@ def certain(rows: DataFrame) -> DataFrame:
     If x and y are such a link, both are one with that document, so these links connect as much as all would.
     """
     best = common.settle(rows.groupBy("base").agg(F.max(F.struct("worth", "doc_id", "root")).alias("top")), "near-top")
-    fit = rows.join(best, "base").filter(F.col("worth") + F.col("top.worth") >= (100 + PERCENT) * F.col("size")).filter("doc_id != top.doc_id and root != top.root")
+    fit = attach(rows, best, "base").filter(F.col("worth") + F.col("top.worth") >= (100 + PERCENT) * F.col("size")).filter("doc_id != top.doc_id and root != top.root")
     return common.settle(fit.select(F.col("top.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-certain")
 
 
@@ -416,13 +500,14 @@ def sharing_edits(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     often = common.settle(edits.groupBy("base", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "near-often")
     # Edits that one document has alone order first and match nothing: only their number counts.
     count = edits.groupBy("base", "doc_id").agg(F.count(F.lit(1)).alias("edits"))
-    listed = edits.join(often, ["base", "token"]).groupBy("base", "doc_id").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("held"))
+    listed = attach(edits, often, "base", "token").groupBy("base", "doc_id").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("held"))
     best = rows.groupBy("base", "root").agg(F.max("worth").alias("worth"))
     first = best.groupBy("base").agg(F.max(F.struct("worth", "root")).alias("one"))
     second = best.join(first, "base").filter("root != one.root").groupBy("base").agg(F.max("worth").alias("other"))
     top = common.settle(first.join(second, "base").select("base", F.col("one.worth").alias("one"), F.col("one.root").alias("one_root"), "other"), "near-tops")
+    wide = common.settle(rows.join(common.settle(count, "near-counts"), ["base", "doc_id"]).join(common.settle(listed, "near-listed"), ["base", "doc_id"]), "near-wide")
     wide = (
-        common.settle(rows.join(common.settle(count, "near-counts"), ["base", "doc_id"]).join(common.settle(listed, "near-listed"), ["base", "doc_id"]), "near-wide").join(top, "base")
+        attach(wide, top, "base")
         .withColumn("need", F.ceil((k * F.col("size") - F.col("worth") - F.when(F.col("root") == F.col("one_root"), F.col("other")).otherwise(F.col("one"))) / k))
         .withColumn("alone", F.col("edits") - F.size("held"))
         .withColumn("reach", F.least(F.size("held").cast("long"), F.col("edits") - F.greatest("need", F.lit(1)) + 1 - F.col("alone")))
@@ -430,6 +515,8 @@ def sharing_edits(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     )
     heads = wide.select("base", "size", "doc_id", "root", "worth", F.size("held").alias("total"), F.posexplode(F.slice("held", 1, F.col("reach").cast("int"))).alias("at", "x"))
     heads = common.settle(heads.select("base", "size", "doc_id", "root", "worth", F.col("x.token").alias("token"), (F.col("total") - F.col("at")).alias("left")), "near-heads")
+    apart = heads.groupBy("base", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("base", "token")
+    heads = common.settle(attach(heads, common.settle(apart, "near-apart"), "base", "token"), "near-heads")
     other = heads.select("base", "token", F.col("doc_id").alias("y"), F.col("root").alias("y_root"), F.col("worth").alias("y_worth"), F.col("left").alias("y_left"))
     enough = F.col("worth") + F.col("y_worth") + k * F.least("left", "y_left") >= k * F.col("size")
     found = heads.join(common.settle(other, "near-others"), ["base", "token"]).filter((F.col("root") != F.col("y_root")) & (F.col("doc_id") < F.col("y")) & enough)
@@ -446,48 +533,124 @@ def open_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
     return common.settle(named.join(groups, "key"), "near-open")
 
 
-def settled_groups(stats: DataFrame, links: DataFrame, roots: DataFrame, edges: DataFrame, keyed: DataFrame, texts: DataFrame, words: int):
+TRIED = [("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]
+
+
+def centred(key: int, docs: np.ndarray, sizes: np.ndarray, roots: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Pairs (key, centre, document) to compare in a group, by their minhashes; (key, centre, centre) names a centre.
+
+    Each document joins the first centre that it seems SURE of, or becomes one. A centre that
+    others joined is compared with all that may be kin of it, one alone with all that may be similar.
+    """
+    n = len(docs)
+    equal = np.concatenate([(low[at : at + 64, None, :] == low[None, :, :]).sum(2, dtype=np.uint8) for at in range(0, n, 64)])
+    joined, centres = np.zeros(n, np.int64), []
+    for i in range(n):
+        near = [c for c in centres if equal[c, i] >= HASHES * (SURE + 10) // 100]
+        if near:
+            joined[near[0]] += 1
+        else:
+            centres.append(i)
+    out = []
+    for c in centres:
+        fit = lambda percent, c=c: 100 * np.minimum(sizes, sizes[c]) >= percent * np.maximum(sizes, sizes[c])
+        if joined[c]:
+            hit = (equal[c] >= HASHES * (KIN - 15) // 100) & fit(KIN)
+        else:
+            hit = (equal[c] >= MATCHES) & fit(PERCENT) & (roots != roots[c])
+        hit[c] = True
+        to = np.flatnonzero(hit)
+        out.append(np.stack([np.full(len(to), key), np.full(len(to), docs[c]), docs[to]], 1))
+    return np.concatenate(out)
+
+
+def centres_of(groups: DataFrame, lows: DataFrame) -> DataFrame:
+    """``centred`` for each key of groups (key, doc, size, root), in one pass over rows sorted by key."""
+    spark = groups.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done(cols: tuple) -> Iterator[pa.RecordBatch]:
+            key = cols[0]
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()
+            found = [centred(int(key[x]), *(c[x:y] for c in cols[1:])) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            rows = np.concatenate(found)
+            for at in range(0, len(rows), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[at : at + 100_000, k])) for k in range(3)], [n for n, _ in TRIED])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [batch.column(k).to_numpy() for k in range(4)]
+            held.append((*cols, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, HASHES)))
+            key = cols[0]
+            if key[0] != key[-1] or held[0][0][0] != key[-1]:  # all but the last group are whole
+                whole = tuple(np.concatenate([h[k] for h in held]) for k in range(5))
+                last = int(np.searchsorted(whole[0], whole[0][-1]))
+                yield from done(tuple(c[:last] for c in whole))
+                held = [tuple(c[last:] for c in whole)]
+        if held:
+            yield from done(tuple(np.concatenate([h[k] for h in held]) for k in range(5)))
+        common.release_memory()
+
+    common.arrow_rows(spark, 10_000)
+    rows = groups.join(lows, "doc").select("key", "doc", "size", "root", "low")
+    return rows.repartition(common.shuffle_parts(spark), "key").sortWithinPartitions("key", "doc").mapInArrow(run, _kind(TRIED))
+
+
+def sure(stats: DataFrame) -> DataFrame:
+    return stats.filter((100 + SURE) * F.col("both") >= SURE * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def linking(stats: DataFrame) -> DataFrame:
+    return stats.filter(similar(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def settled_groups(stats: DataFrame, links: DataFrame, roots: DataFrame, keyed: DataFrame, lows: DataFrame, texts: DataFrame, words: int):
     """stats, links and roots with those of all documents that no leader of their key answers for.
 
     A document at SURE or more of a leader is done: all its partners are kin of that leader.
-    The others of the key elect new leaders, twice as many in each round; a leader is compared
-    with all that are left, so it is done too. Two similar documents of a key are thus
-    compared or kin of one leader in the round where the first of them is done.
+    The others of the key find centres among themselves (``centred``), or in a large group
+    new leaders, twice as many in each round. Either is compared with all that are left, so it
+    is done too. Two similar documents of a key are thus compared or kin of one leader in
+    the round where the first of them is done.
     """
-    sure = lambda df: df.filter((100 + SURE) * F.col("both") >= SURE * (F.col("na") + F.col("nb"))).select("a", "b")
-    done = sure(stats).select(F.col("a").alias("leader"), F.col("b").alias("doc"))
-    loose = common.settle(edges.join(done, ["leader", "doc"], "left_anti").select("leader", "doc"), "near-loose")
+    answered = sure(stats).select(F.col("a").alias("leader"), F.col("b").alias("doc"))
+    loose = keyed.select("leader", "doc").distinct().join(answered, ["leader", "doc"], "left_anti")
+    loose = common.settle(loose, "near-loose")
+    if not loose.limit(1).count():
+        return stats, links, roots
     rest = open_groups(keyed.join(loose, ["leader", "doc"]).select("key", "doc", "size"), roots)
     count = 1
     while rest.limit(1).count():
-        few = rest.filter(F.col("n") <= SMALL)
-        other = few.select("key", F.col("doc").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-        pairs = few.join(other, "key").filter((F.col("doc") < F.col("b")) & (F.col("root") != F.col("b_root")) & fits("size", "b_size")).select(F.col("doc").alias("a"), "b")
-        many = rest.filter(F.col("n") > SMALL).select("key", "doc", "size")
+        few = centres_of(rest.filter(F.col("n") <= GROUP_DOCS).select("key", "doc", "size", "root"), lows)
+        many = rest.filter(F.col("n") > GROUP_DOCS).select("key", "doc", "size")
         heads = many.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(count)).alias("salt")).agg(F.min(F.struct("doc", "size")).alias("head"))
-        heads = common.settle(heads.select("key", F.col("head.doc").alias("a"), F.col("head.size").alias("a_size")), "near-heads")
-        led_by = many.join(heads, "key").filter((F.col("doc") != F.col("a")) & fits("size", "a_size", KIN)).select("a", F.col("doc").alias("b"))
-        fresh = common.settle(pairs.unionByName(led_by).distinct().join(stats.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
+        heads = heads.select("key", F.col("head.doc").alias("a"), F.col("head.size").alias("a_size"))
+        led_by = many.join(heads, "key").filter(fits("size", "a_size", KIN)).select("key", "a", F.col("doc").alias("b"))
+        tried = common.settle(few.unionByName(led_by), "near-tried")
+        fresh = tried.filter("a != b").select("a", "b").distinct().join(stats.select("a", "b"), ["a", "b"], "left_anti")
         found = compared(fresh, texts, words)
         stats = common.settle(stats.unionByName(found), "near-stats")
-        more = common.settle(found.filter(similar(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b"), "near-links")
+        more = linking(found)
         if more.limit(1).count():
-            links = links.unionByName(more)
+            links = common.settle(links.unionByName(more), "near-links")
             roots = components(links)
         # Of a key those are done that lead it or are at SURE of one of its leaders.
-        done = heads.join(sure(stats), "a").select("key", F.col("b").alias("doc")).unionByName(heads.select("key", F.col("a").alias("doc"))).distinct()
-        rest = open_groups(many.join(done, ["key", "doc"], "left_anti"), roots)
+        done = tried.filter("a != b").join(sure(stats), ["a", "b"]).select("key", F.col("b").alias("doc")).unionByName(tried.select("key", F.col("a").alias("doc"))).distinct()
+        rest = open_groups(rest.select("key", "doc", "size").join(done, ["key", "doc"], "left_anti"), roots)
         count *= 2
     return stats, links, roots
 
 
-def linked(edges: DataFrame, keyed: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def linked(keyed: DataFrame, lows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """doc_id, root of every document that is linked with another."""
     # Followers that cannot be similar to their leader may still be kin of it.
-    pairs = edges.filter(fits("size", "leader_size", KIN)).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    stats = compared(common.settle(pairs, "near-pairs"), texts, words)
-    links = common.settle(stats.filter(similar(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b"), "near-links")
-    stats, links, roots = settled_groups(stats, links, components(links), edges, keyed, texts, words)
+    pairs = keyed.filter(fits("size", "leader_size", KIN)).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    stats = compared(pairs, texts, words)
+    links = common.settle(linking(stats), "near-links")
+    stats, links, roots = settled_groups(stats, links, components(links), keyed, lows, texts, words)
     more = certain(families(stats, roots))
     if more.limit(1).count():
         links = links.unionByName(more)
@@ -495,7 +658,7 @@ def linked(edges: DataFrame, keyed: DataFrame, texts: DataFrame, words: int) ->
     rows = families(stats, roots)
     if rows.limit(1).count():
         found = compared(sharing_edits(rows, texts, words), texts, words)
-        more = common.settle(found.filter(similar(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b"), "near-links")
+        more = common.settle(linking(found), "near-links")
         if more.limit(1).count():
             roots = components(links.unionByName(more))
     return roots
@@ -504,29 +667,31 @@ def linked(edges: DataFrame, keyed: DataFrame, texts: DataFrame, words: int) ->
 def report(df: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``df``."""
     spark = df.sparkSession
-    docs = df.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common.arrow_rows(spark)
-    rows = common.settle(signatures(docs, words), "near-sigs")
-    classes = rows.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = common.settle(classes, "near-classes")
-    reps = rows.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id", "set_a", "set_b"])
-    reps = common.settle(reps, "near-reps")
-    edges, keyed = candidate_edges(reps)
-    # Texts of all that shares a key: cut from the source once, by a sorted join at every size.
-    held = common.settle(edges.select(F.explode(F.array("leader", "doc")).alias("doc_id")).distinct(), "near-held")
-    texts = common.settle(docs.join(held.hint("merge"), "doc_id", "left_semi"), "near-texts")
-    roots = linked(edges, keyed, texts, words)
-    named = rows.join(classes, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    named = common.settle(named, "near-named")
-    return named.join(roots.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("root", "rep")).alias("kept")
-    )
+    with common.scratch(spark) as keep:
+        rows = common.settle(signatures(docs, words), "near-sigs")
+        named_rows = rows.filter("doc_id is not null")
+        classes = named_rows.filter("n_shingles > 0").groupBy("words").agg(F.min("doc_id").alias("rep"))
+        classes = common.settle(classes, "near-classes")
+        reps = named_rows.join(classes.select(F.col("rep").alias("doc_id"), "words"), ["doc_id", "words"]).dropDuplicates(["doc_id", "words"])
+        reps = common.settle(reps.select("doc_id", "n_shingles", "blocks", "low"), "near-reps")
+        keyed = candidate_edges(reps)
+        # Texts of all that shares a key: cut from the source once, by a sorted join at every size.
+        held = keyed.select(F.explode(F.array("leader", "doc")).alias("doc_id")).distinct()
+        held = common.settle(held, "near-held")
+        texts = common.settle(docs.join(held.hint("merge"), "doc_id", "left_semi"), "near-texts")
+        lows = reps.select(F.col("doc_id").alias("doc"), "low").join(held.select(F.col("doc_id").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
+        roots = linked(keyed, common.settle(lows, "near-lows"), texts, words)
+        named = rows.join(classes, "words", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+        named = named.join(roots.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
+        return keep(named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-report")
 
 
 def deduplicate(df: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``df`` whose document stays, all columns unchanged."""
-    gone = common.settle(report(df, words).filter("not kept").select("doc_id").distinct(), "near-gone")
-    return df.join(gone, "doc_id", "left_anti").select(*df.columns)
+    gone = report(df, words).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return df.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*df.columns)
 
 
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
