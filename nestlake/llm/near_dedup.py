@@ -58,8 +58,6 @@ SURE = 100 + KIN - PERCENT
 MATCHES = 100
 #: Documents up to which what is left of a key is compared in one task.
 GROUP_DOCS = 1_000
-#: Tasks over which the rows of one leader are spread in joins.
-SALTS = 16
 #: Documents whose keys are folded together before they are sent on.
 PACK_DOCS = 5_000
 #: Followers that one task compares with a copy of their leader.
@@ -418,10 +416,10 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, edits: bool = False
         sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP)
         salts = F.ceil(F.coalesce("n", F.lit(1)) / GROUP)
         salted = pairs.join(common.settle(sizes, "near-sizes"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).alias("salt"))
+        salted = common.settle(salted, "near-salted")
         followers = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("doc_id"))
         leaders = salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("doc_id"))
-        roles = common.settle(followers.unionByName(leaders), "near-roles")
-        met = roles.join(texts.select("doc_id", "text"), "doc_id").select(*order, "text")
+        met = followers.unionByName(leaders).join(texts.select("doc_id", "text"), "doc_id").select(*order, "text")
         met = met.repartition(common.shuffle_parts(spark), "a", "salt").sortWithinPartitions(*order)
         return keep(met.mapInArrow(compare_sorted(words, edits), kind).distinct(), "near-compared")
 
@@ -445,19 +443,13 @@ def components(links: DataFrame) -> DataFrame:
             if n == ups and not edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
                 return keep(edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "near-roots")
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+            low = common.settle(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "near-low")  # alone, so that Spark may split the join
             large = common.settle(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "near-large")
-            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            low = common.settle(large.groupBy("u").agg(F.min("v").alias("m")), "near-low")
             small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
             edges = common.settle(small.filter("u != v").distinct(), "near-edges")
 
 
-def attach(rows: DataFrame, small: DataFrame, *key: str) -> DataFrame:
-    """``rows`` with what ``small`` has for their key, one row each; the rows of a key are spread over SALTS tasks."""
-    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(right, [*key, "_salt"]).drop("_salt")
-
-
 def families(stats: DataFrame, roots: DataFrame) -> DataFrame:
     """base, doc_id, n, worth, root: leaders with the followers they resemble, where components still differ.
 
@@ -474,7 +466,7 @@ def families(stats: DataFrame, roots: DataFrame) -> DataFrame:
     named = rows.unionByName(own).join(roots, "doc_id", "left").select("base", "size", "doc_id", "n", worth.alias("worth"), F.coalesce("root", "doc_id").alias("root"))
     named = common.settle(named, "near-named")
     open_ = named.groupBy("base").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("base")
-    return common.settle(attach(named, common.settle(open_, "near-open"), "base"), "near-families")
+    return common.settle(named.join(common.settle(open_, "near-open"), "base", "left_semi"), "near-families")
 
 
 def certain(rows: DataFrame) -> DataFrame:
@@ -483,7 +475,7 @@ def certain(rows: DataFrame) -> DataFrame:
     If x and y are such a link, both are one with that document, so these links connect as much as all would.
     """
     best = common.settle(rows.groupBy("base").agg(F.max(F.struct("worth", "doc_id", "root")).alias("top")), "near-top")
-    fit = attach(rows, best, "base").filter(F.col("worth") + F.col("top.worth") >= (100 + PERCENT) * F.col("size")).filter("doc_id != top.doc_id and root != top.root")
+    fit = rows.join(best, "base").filter(F.col("worth") + F.col("top.worth") >= (100 + PERCENT) * F.col("size")).filter("doc_id != top.doc_id and root != top.root")
     return common.settle(fit.select(F.col("top.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-certain")
 
 
@@ -500,14 +492,16 @@ def sharing_edits(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     often = common.settle(edits.groupBy("base", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "near-often")
     # Edits that one document has alone order first and match nothing: only their number counts.
     count = edits.groupBy("base", "doc_id").agg(F.count(F.lit(1)).alias("edits"))
-    listed = attach(edits, often, "base", "token").groupBy("base", "doc_id").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("held"))
+    listed = edits.join(often, ["base", "token"]).groupBy("base", "doc_id").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("held"))
     best = rows.groupBy("base", "root").agg(F.max("worth").alias("worth"))
     first = best.groupBy("base").agg(F.max(F.struct("worth", "root")).alias("one"))
-    second = best.join(first, "base").filter("root != one.root").groupBy("base").agg(F.max("worth").alias("other"))
+    best, first = common.settle(best, "near-best"), common.settle(first, "near-first")
+    others = common.settle(best.join(first, "base").filter("root != one.root").select("base", "worth"), "near-others")  # a join that Spark may split
+    second = others.groupBy("base").agg(F.max("worth").alias("other"))
     top = common.settle(first.join(second, "base").select("base", F.col("one.worth").alias("one"), F.col("one.root").alias("one_root"), "other"), "near-tops")
     wide = common.settle(rows.join(common.settle(count, "near-counts"), ["base", "doc_id"]).join(common.settle(listed, "near-listed"), ["base", "doc_id"]), "near-wide")
     wide = (
-        attach(wide, top, "base")
+        wide.join(top, "base")
         .withColumn("need", F.ceil((k * F.col("size") - F.col("worth") - F.when(F.col("root") == F.col("one_root"), F.col("other")).otherwise(F.col("one"))) / k))
         .withColumn("alone", F.col("edits") - F.size("held"))
         .withColumn("reach", F.least(F.size("held").cast("long"), F.col("edits") - F.greatest("need", F.lit(1)) + 1 - F.col("alone")))
@@ -516,7 +510,7 @@ def sharing_edits(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     heads = wide.select("base", "size", "doc_id", "root", "worth", F.size("held").alias("total"), F.posexplode(F.slice("held", 1, F.col("reach").cast("int"))).alias("at", "x"))
     heads = common.settle(heads.select("base", "size", "doc_id", "root", "worth", F.col("x.token").alias("token"), (F.col("total") - F.col("at")).alias("left")), "near-heads")
     apart = heads.groupBy("base", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("base", "token")
-    heads = common.settle(attach(heads, common.settle(apart, "near-apart"), "base", "token"), "near-heads")
+    heads = common.settle(heads.join(common.settle(apart, "near-apart"), ["base", "token"], "left_semi"), "near-heads")
     other = heads.select("base", "token", F.col("doc_id").alias("y"), F.col("root").alias("y_root"), F.col("worth").alias("y_worth"), F.col("left").alias("y_left"))
     enough = F.col("worth") + F.col("y_worth") + k * F.least("left", "y_left") >= k * F.col("size")
     found = heads.join(common.settle(other, "near-others"), ["base", "token"]).filter((F.col("root") != F.col("y_root")) & (F.col("doc_id") < F.col("y")) & enough)
