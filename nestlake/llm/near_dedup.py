@@ -509,8 +509,6 @@ def sharing_edits(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     )
     heads = wide.select("base", "size", "doc_id", "root", "worth", F.size("held").alias("total"), F.posexplode(F.slice("held", 1, F.col("reach").cast("int"))).alias("at", "x"))
     heads = common.settle(heads.select("base", "size", "doc_id", "root", "worth", F.col("x.token").alias("token"), (F.col("total") - F.col("at")).alias("left")), "near-heads")
-    apart = heads.groupBy("base", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("base", "token")
-    heads = common.settle(heads.join(common.settle(apart, "near-apart"), ["base", "token"], "left_semi"), "near-heads")
     other = heads.select("base", "token", F.col("doc_id").alias("y"), F.col("root").alias("y_root"), F.col("worth").alias("y_worth"), F.col("left").alias("y_left"))
     enough = F.col("worth") + F.col("y_worth") + k * F.least("left", "y_left") >= k * F.col("size")
     found = heads.join(common.settle(other, "near-others"), ["base", "token"]).filter((F.col("root") != F.col("y_root")) & (F.col("doc_id") < F.col("y")) & enough)
