@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -62,6 +62,8 @@ GROUP_DOCS = 1_000
 PACK_DOCS = 5_000
 #: Followers that one task compares with a copy of their leader.
 GROUP = 32
+#: Documents of an edit that are listed together.
+LISTED = 4_000
 #: Bytes over which word hashes are computed at once.
 WINDOW = 1 << 20
 
@@ -482,29 +484,36 @@ def certain(rows: DataFrame) -> DataFrame:
 def sharing_edits(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Pairs (a, b) of one base and different components that share enough edits for a prefix filter to keep them.
 
-    A pair needs t = ceil((K * |base| - worth x - worth y) / K) shared edits. Edits are
+    A pair needs t = ceil((K * |base| - worth x - worth y) / K) shared edits, so a document with
+    fewer edits than it needs for the best document of another component is out. Edits are
     ordered by frequency under their base, rarest first; x can only share t of them if
     it shares one of its first |Ex| - t + 1, and enough must be left behind it.
     """
     k = 100 + PERCENT
-    pairs = rows.filter("base != doc_id").select(F.col("base").alias("a"), F.col("doc_id").alias("b"))
-    edits = compared(pairs, texts, words, edits=True).withColumnRenamed("a", "base").withColumnRenamed("b", "doc_id")
-    often = common.settle(edits.groupBy("base", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "near-often")
-    # Edits that one document has alone order first and match nothing: only their number counts.
-    count = edits.groupBy("base", "doc_id").agg(F.count(F.lit(1)).alias("edits"))
-    listed = edits.join(often, ["base", "token"]).groupBy("base", "doc_id").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("held"))
-    best = rows.groupBy("base", "root").agg(F.max("worth").alias("worth"))
-    first = best.groupBy("base").agg(F.max(F.struct("worth", "root")).alias("one"))
-    best, first = common.settle(best, "near-best"), common.settle(first, "near-first")
+    best = common.settle(rows.groupBy("base", "root").agg(F.max("worth").alias("worth")), "near-best")
+    first = common.settle(best.groupBy("base").agg(F.max(F.struct("worth", "root")).alias("one")), "near-first")
     others = common.settle(best.join(first, "base").filter("root != one.root").select("base", "worth"), "near-others")  # a join that Spark may split
     second = others.groupBy("base").agg(F.max("worth").alias("other"))
     top = common.settle(first.join(second, "base").select("base", F.col("one.worth").alias("one"), F.col("one.root").alias("one_root"), "other"), "near-tops")
-    wide = common.settle(rows.join(common.settle(count, "near-counts"), ["base", "doc_id"]).join(common.settle(listed, "near-listed"), ["base", "doc_id"]), "near-wide")
+    shared = (F.col("worth") + PERCENT * F.col("n")) / k
+    able = (
+        rows.join(top, "base").filter("base != doc_id")
+        .withColumn("need", F.greatest(F.lit(1), F.ceil((k * F.col("size") - F.col("worth") - F.when(F.col("root") == F.col("one_root"), F.col("other")).otherwise(F.col("one"))) / k)))
+        .withColumn("edits", F.col("n") + F.col("size") - 2 * shared.cast("long"))
+        .filter("need <= edits").select("base", "doc_id", "size", "root", "worth", "need", "edits")
+    )
+    able = common.settle(able, "near-able")
+    edits = compared(able.select(F.col("base").alias("a"), F.col("doc_id").alias("b")), texts, words, edits=True).withColumnRenamed("a", "base").withColumnRenamed("b", "doc_id")
+    # Documents of an edit come in lists of bounded length, whatever the family's size, and only lists are counted together.
+    largest = able.groupBy("base").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    lists = edits.groupBy("base", "token", F.pmod(F.xxhash64("doc_id"), F.lit(-(-largest // LISTED))).alias("salt")).agg(F.collect_list("doc_id").alias("docs"))
+    counted = lists.withColumn("times", F.sum(F.size("docs")).over(Window.partitionBy("base", "token"))).filter("times > 1")
+    # Edits that one document has alone order first and match nothing: only their number counts.
+    listed = counted.select("base", F.explode("docs").alias("doc_id"), "times", "token").groupBy("base", "doc_id").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("held"))
     wide = (
-        wide.join(top, "base")
-        .withColumn("need", F.ceil((k * F.col("size") - F.col("worth") - F.when(F.col("root") == F.col("one_root"), F.col("other")).otherwise(F.col("one"))) / k))
+        common.settle(able.join(common.settle(listed, "near-listed"), ["base", "doc_id"]), "near-wide")
         .withColumn("alone", F.col("edits") - F.size("held"))
-        .withColumn("reach", F.least(F.size("held").cast("long"), F.col("edits") - F.greatest("need", F.lit(1)) + 1 - F.col("alone")))
+        .withColumn("reach", F.least(F.size("held").cast("long"), F.col("edits") - F.col("need") + 1 - F.col("alone")))
         .filter("reach > 0")
     )
     heads = wide.select("base", "size", "doc_id", "root", "worth", F.size("held").alias("total"), F.posexplode(F.slice("held", 1, F.col("reach").cast("int"))).alias("at", "x"))
