@@ -1,9 +1,11 @@
 """Each operator against a brute-force version on hand-made rows, and on empty tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -151,41 +153,42 @@ def test_held_out_accuracy(spark):
 # ---- op4
 
 
-def edf(counts):
-    """Slots of one frame, by the book."""
-    length, done, out = sum(counts.values()), dict.fromkeys(counts, 0), []
-    for t in range(length):
-        due = [(-(-(done[s] + 1) * length // c), i, s) for i, (s, c) in enumerate(sorted(counts.items())) if done[s] < c and done[s] * length // c <= t]
-        s = min(due)[2]
-        done[s] += 1
-        out.append(s)
-    return out
-
-
-def test_mixing_equals_brute_force(spark):
+def fluid_edf(blocks, weights):
+    """Source of each slot, with the windows of the fluid mix; by simulation in fractions."""
+    after, out = 0, []
+    for has in (True, False):
+        own = {s: b for s, b in blocks.items() if (weights.get(s, 0) > 0) == has}
+        w = {s: Fraction(weights[s]) if has else Fraction(1) for s in own}
+        at = lambda s, j, own=own, w=w, after=after: after + sum(min(Fraction(own[k]), w[k] * j / w[s]) for k in own)
+        out += [(math.ceil(at(s, j)), sorted(blocks).index(s), j, math.floor(at(s, j - 1)), s) for s, b in own.items() for j in range(1, b + 1)]
+        after += sum(own.values())
+    waiting, order = [], []
+    for slot in range(after):
+        waiting += [x for x in out if x[3] == slot]
+        waiting.remove(pick := min(waiting))
+        assert pick[3] <= slot < pick[0]
+        order.append((pick[4], pick[2] - 1, pick[3], pick[0]))
+    return order
+
+
+@pytest.mark.parametrize("weights", [{"a": 5.0, "b": 3.0, "c": 1.0}, {"a": 1.0, "b": 0.0, "c": 3.0, "": 3.0}])
+def test_mixing_equals_brute_force(spark, weights):
     sizes = {"a": 700, "b": 90, "c": 9, "": 1}
     rows = [(i, s or None) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
-    df = spark.createDataFrame(rows, "doc_id long, source string")
-    weights = spark.createDataFrame([("a", 5.0), ("b", 3.0), ("c", 1.0)], "_source string, weight double")
-    got = mixing.mixed(df, weights).collect()
-    blocks = {s: -(-n // mixing.BLOCK) for s, n in sizes.items()}
-    quota = {s: max(1, round(w / 9 * mixing.FRAME)) for s, w in (("a", 5), ("b", 3), ("c", 1), ("", 0))}
-    want, left = [], dict(blocks)
-    while any(left.values()):
-        counts = {s: min(quota[s], n) for s, n in left.items() if n}
-        want += edf(counts)
-        left = {s: n - counts.get(s, 0) for s, n in left.items()}
-    at = {r._slot: r._source for r in got}
-    assert [at[i] for i in range(len(want))] == want and sorted(r.doc_id for r in got) == list(range(len(rows)))
-    assert all(r._release <= r._slot < r._deadline for r in got)
-    assert max(Counter((r._source, r._block) for r in got).values()) == mixing.BLOCK
-    full = Counter(want[: sum(quota.values())])
-    for n in range(1, 60):  # less than one block from the share, at every slot of the first frames
-        part = Counter(want[:n])
-        for s in ("a", "b"):
-            counts = {k: min(quota[k], blocks[k]) for k in blocks}
-            assert abs(part[s] - n * counts[s] / sum(counts.values())) < 1
-    assert full
+    df = spark.createDataFrame([*rows, (None, "a"), (None, "a")], "doc_id long, source string")
+    got = mixing.placed(df, spark.createDataFrame(list(weights.items()), "_source string, weight double")).collect()
+    want = fluid_edf({s: -(-(n + 2 * (s == "a")) // mixing.BLOCK) for s, n in sizes.items()}, weights)
+    assert {r._slot: (r._source, r._block, r._release, r._deadline) for r in got} == dict(enumerate(want))
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == list(range(len(rows))) and len(got) == len(rows) + 2
+    assert max(Counter((r._source, r._block) for r in got).values()) == mixing.BLOCK and len({(r._slot, r._place) for r in got}) == len(got)
+
+
+def test_mixing_blocks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 10)
+    df = spark.createDataFrame([(i, f"s{i % 3}") for i in range(500)], "doc_id long, source string")
+    got = mixing.placed(df).collect()
+    assert len({r._slot for r in got}) == 3 * -(-167 // 50) and len({(r._slot, r._place) for r in got}) == 500
+    assert max(r._place for r in got) == 49 and all(r._release <= r._slot < r._deadline for r in got)
 
 
 @pytest.mark.parametrize("weights", [{"hot": 0.7} | {f"s{k}": 0.001 for k in range(300)}, {"a": 0.504, "b": 0.496}, {"hot": 0.1396} | {f"s{k}": 0.8604 / 19 for k in range(19)}])

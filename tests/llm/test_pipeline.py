@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from nestlake.llm import bpe, common, toxicity
+from nestlake.llm import bpe, common, mixing, toxicity
 from test_operators import naive_components, utf8
 
 SF = "/root/testdata/sf0.001"
@@ -25,6 +25,9 @@ def test_pipeline_equals_its_stages_by_hand(spark, tables, which):
     want = {i: t for i, t in left.values() if near[i][1] == i}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
     assert set(got) == set(want)
+    kept = docs.filter(docs.doc_id.isin(list(want))).dropDuplicates(["doc_id"])
+    order = [r.doc_id for r in mixing.interleave(kept).collect()]  # the order of the mix reaches the end
+    assert [i for i, r in sorted(got.items(), key=lambda x: (x[1].slot, x[1].place))] == order
     codec = bpe.codec(*bpe.vocabulary())
     for i, t in want.items():
         assert codec.decode_bytes(got[i].ids) == utf8(t) and got[i].decoded_sha256 == hashlib.sha256(utf8(t)).hexdigest() and got[i].n_tokens == len(got[i].ids)
