@@ -33,8 +33,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, their number and digests, in the order of the mix."""
-    return bpe.tokenised(docs)
+    """Token ids, their number and digests, and each document's slot and place in the mix.
+
+    Readers order files as they like and a stage may add no columns, so the places are taken
+    again from what the mix left: they follow from the documents alone.
+    """
+    return bpe.tokenised(mixing.numbered(docs))
 
 
 STAGES = [
