@@ -7,8 +7,12 @@ of the frame energy with hysteresis. Features are kept as Arrow fixed-shape tens
 TENSOR_FRAMES x MELS with the time span of each.
 
 Everything of a document is computed from that document alone, in blocks of bounded
-size, so equal texts give equal values. Defined results: a null text counts as empty
-(64 zero bytes); rows without doc_id are left out; other columns are ignored.
+size, so equal texts, ties and repeated rows give equal values. A block is resampled behind the
+samples before it and overlaps the next by a frame, so blocks do not show in the result.
+The query reads media and tensors back from their stored bytes before it takes digests.
+Defined results: a null text counts as empty (64 zero bytes); very long texts only add
+blocks; a row without doc_id is kept and has a null doc_id; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,10 +93,13 @@ BANK = _mel_bank(RATE * UP / DOWN)
 WINDOW = np.hanning(FRAME)
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """Polyphase: output n takes the taps of phase (n * DOWN) mod UP at input n * DOWN // UP."""
+def resample(x: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Polyphase: output n takes the taps of phase (n * DOWN) mod UP at input n * DOWN // UP.
+
+    before: the TAPS - 1 samples in front of x, silence if there are none.
+    """
     n_out = -(-len(x) * UP // DOWN)
-    padded = np.concatenate([np.zeros(TAPS - 1), x, np.zeros(TAPS)])
+    padded = np.concatenate([np.zeros(TAPS - 1) if before is None else before, x, np.zeros(TAPS)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
     y = np.empty(n_out)
     for q in range(UP):
@@ -117,9 +124,10 @@ def features(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer(samples, np.uint8)
     mels, energies = [], []
     step = BLOCK  # a multiple of DOWN, so every block begins on phase 0
+    level = lambda part: (part.astype(np.float64) - 128) / 128
     for at in range(0, len(x), step):
-        tail = x[at : at + step + FRAME * DOWN // UP + DOWN]
-        y = resample((tail.astype(np.float64) - 128) / 128)
+        tail = level(x[at : at + step + FRAME * DOWN // UP + DOWN])
+        y = resample(tail, level(x[at - TAPS + 1 : at]) if at else None)
         last = at + step >= len(x)
         m, e = log_mel(y)
         keep = len(e) if last else step * UP // DOWN // HOP
@@ -193,9 +201,12 @@ def media_features(df: DataFrame, keep_media: bool = False) -> DataFrame:
         _, samples = from_wav(media)
         mel, energy = features(samples)
         found = [(a * hop_s, b * hop_s) for a, b in segments(energy)]
-        stored = to_ipc(tensors(mel)) if keep_media else b""
-        digest = zlib.crc32(np.rint(mel * 1000).astype("<i4").tobytes())
-        feature = f"frames={len(mel)};segments={len(found)};active={sum(b - a for a, b in found):.4f};mel={digest:08x}"
+        stored = to_ipc(tensors(mel))
+        kept = from_ipc(stored)
+        cells = kept.column("tensor").combine_chunks().storage.flatten().to_numpy()[: mel.size]
+        spans = np.stack([kept.column(c).to_numpy() for c in ("start_s", "end_s")])
+        digest = zlib.crc32(np.rint(spans * 1e6).astype("<i8").tobytes(), zlib.crc32(np.rint(cells * 1000).astype("<i4").tobytes()))
+        feature = f"tensors={kept.num_rows};frames={len(mel)};segments={len(found)};active={sum(b - a for a, b in found):.4f};mel={digest:08x}"
         row = (doc, len(text), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(mel))
         row += ([{"start_s": a, "end_s": b} for a, b in found],)
         return row + ((media, stored) if keep_media else ())
@@ -209,8 +220,7 @@ def media_features(df: DataFrame, keep_media: bool = False) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    kept = df.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return kept.mapInArrow(run, COLUMNS + (", media binary, tensors binary" if keep_media else ""))
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, COLUMNS + (", media binary, tensors binary" if keep_media else ""))
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
