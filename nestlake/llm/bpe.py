@@ -19,6 +19,7 @@ import hashlib
 import os
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,7 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = bytes(back[c] for c in name(token))
         self.decimal = [str(i) for i in range(size)]
+        self.size_of = np.array([len(b) for b in self.bytes_of], np.int64)
 
     def encode(self, texts: list[str], offsets: bool = False) -> Iterator:
         """Encodings in order, made over chunks of bounded size."""
@@ -99,6 +101,10 @@ class Codec:
                 yield from run(texts[start : i + 1], add_special_tokens=False)
                 start, held = i + 1, 0
 
+    def ends(self, ids: list[int]) -> np.ndarray:
+        """Offset in bytes behind each token: tokens cover the text's bytes without a gap."""
+        return self.size_of[np.array(ids, np.int64)].cumsum()
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         table = self.bytes_of
         return b"".join([table[i] for i in ids])
@@ -167,29 +173,37 @@ def decode(df: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 
 def digests(df: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, hash, decode, hash in one pass.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256, n_split in one pass.
 
-    No shuffle; ids stay inside the batch that made them.
+    offsets_sha256 is over the byte offsets behind the tokens (little-endian, 8 bytes each),
+    n_split counts those inside a character, whose parts only decode together. No shuffle;
+    ids stay inside the batch that made them.
     """
     common.arrow_rows(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*vocabulary(ranks))
         for batch in batches:
-            n, ids_hash, text_hash = [], [], []
+            n, ids_hash, text_hash, ends_hash, split = [], [], [], [], []
             for e in c.encode(texts_of(batch.column(1))):
                 ids = e.ids
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(" ".join([c.decimal[i] for i in ids]).encode()).hexdigest())
-                text_hash.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
+                raw, ends = c.decode_bytes(ids), c.ends(ids)
+                text_hash.append(hashlib.sha256(raw).hexdigest())
+                ends_hash.append(hashlib.sha256(ends.astype("<i8").tobytes()).hexdigest())
+                split.append(int(((np.frombuffer(raw, np.uint8)[ends[:-1]] & 0xC0) == 0x80).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                [
+                    batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string()),
+                    pa.array(ends_hash, pa.string()), pa.array(split, pa.int64()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "n_split"],
+            )
         common.release_memory()
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, n_split long"
     )
 
 
