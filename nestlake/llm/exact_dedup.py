@@ -9,10 +9,12 @@ in a sorted stream that holds one representative for each different text.
 No group meets in one task: a group of n members is dealt over n / GROUP salts, each
 salt elects representatives, and these are compared again until one salt is left.
 
-Defined results: rows without doc_id are no documents and are left out; a null text counts as empty, and empty texts are copies of each other; of
-equal texts the smallest doc_id stays; rows that repeat a doc_id *and* its text count in
-group_size, come back as often as they came, and one of them is kept; other columns of
-the input are ignored by the report and returned unchanged by ``deduplicate``.
+Defined results: a null text counts as empty, and empty texts are copies of each other; very
+long texts are hashed and compared in chunks; of equal texts the smallest doc_id stays; rows
+that repeat a doc_id *and* its text (ties) count in group_size, come back as often as they
+came, and one of them is kept; a row without doc_id is a copy of nothing: keep_id null, group
+size 1, kept; an empty table gives no rows; other columns of the input are ignored by the
+report and returned unchanged by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -131,13 +133,19 @@ def compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def compared(members: DataFrame) -> DataFrame:
-    """members: fp, n_bytes, doc_id, size, text of all groups. Returns fp, n_bytes, doc_id, rep."""
+    """members: fp, n_bytes, doc_id, size, text, text_sha256 of all groups. Returns fp, n_bytes, doc_id, rep.
+
+    Each level leaves one of GROUP equal texts. Where one does not halve the largest group, its texts differ
+    (fingerprints can be forged): a last level then deals them by their digest, so equal texts meet.
+    """
     key = ["fp", "n_bytes"]
     order = [*key, "salt", "doc_id"]
-    links = None
+    links, before = None, None
     while True:
-        dealt = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / GROUP)))
         most = members.agg(F.max("size")).first()[0] or 0
+        stuck = before is not None and most > before // 2
+        dealt = members.withColumn("salt", F.pmod(F.xxhash64("text_sha256" if stuck else "doc_id"), F.ceil(F.col("size") / GROUP)))
+        before = most
         step = common.settle(
             dealt.select(*order, "text")
             .repartition(common.shuffle_parts(members.sparkSession), *key, "salt")
@@ -151,7 +159,7 @@ def compared(members: DataFrame) -> DataFrame:
         else:
             ahead = step.select(*key, F.col("doc_id").alias("rep"), F.col("rep").alias("next"))
             links = links.join(ahead, [*key, "rep"]).select(*key, "doc_id", F.col("next").alias("rep"))
-        if most <= GROUP:
+        if most <= GROUP or stuck:
             return links
         reps = step.filter("doc_id = rep").select(*key, "doc_id")
         left = common.settle(reps.groupBy(*key).agg(F.count(F.lit(1)).alias("size")), "exact-left")
@@ -161,13 +169,16 @@ def compared(members: DataFrame) -> DataFrame:
 def report(df: DataFrame) -> DataFrame:
     """One row for each row of ``df``: doc_id, keep_id, group_size, kept, text_sha256."""
     key = ["fp", "n_bytes"]
+    nameless = fingerprints(df.filter("doc_id is null")).select(
+        "doc_id", F.lit(None).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+    )
     df = df.filter("doc_id is not null")
     each = common.settle(
         fingerprints(df).groupBy("doc_id", *key, "text_sha256").agg(F.count(F.lit(1)).alias("times")), "exact-fp"
     )
     # Group sizes are written first: beside a plain scan a join on a hot fingerprint can be split.
     shared = common.settle(each.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "exact-shared")
-    wanted = each.join(shared, key).select(*key, "doc_id", "size")
+    wanted = each.join(shared, key).select(*key, "doc_id", "size", "text_sha256")
     # Only members of groups bring their texts; the texts are cut from the source once.
     members = common.settle(df.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id"), "exact-members")
     named = common.settle(
@@ -185,6 +196,7 @@ def report(df: DataFrame) -> DataFrame:
             ((F.col("doc_id") == F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
             "text_sha256",
         )
+        .unionByName(nameless)
     )
 
 
