@@ -26,9 +26,10 @@ A minimizer in more than HOT documents sends single windows by their own hash, s
 passage that a third of all documents share is spread over buckets, and each window
 arrives at most once from a pack. The texts are shuffled once; that exchange is reused.
 
-Defined results: null counts as empty; texts under LENGTH bytes lose nothing; rows that
-repeat a doc_id do not count as earlier than each other; rows without doc_id are left
-out; an empty table gives no rows; other columns are ignored.
+Defined results: null counts as empty; texts under LENGTH bytes lose nothing; very long texts
+are cut in blocks; rows that repeat a doc_id (ties) do not count as earlier than each other;
+a row without doc_id is earlier and later than nothing and loses nothing; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,12 +48,14 @@ from . import common
 
 LENGTH, GRAM = 50, 20
 WIDTH = LENGTH - GRAM + 1
-#: Documents in a pack; buckets for each pack; documents from which a minimizer is hot.
-PACK_DOCS, BUCKETS, HOT = 1000, 4, 2000
+#: Documents and bytes in a pack about; buckets for each pack; documents from which a minimizer is hot.
+PACK_DOCS, PACK_BYTES, BUCKETS, HOT = 1000, 6 << 20, 4, 2000
+#: Packs that one task of an exchange takes about.
+TASK_PACKS = 4
 #: Window starts whose hashes are held at once.
 BLOCK = 1 << 17
 #: Bytes of a column from which it is kept in a temporary file between rounds.
-IN_MEMORY = 64 << 20
+IN_MEMORY = 1 << 20
 
 U = np.uint64
 CODES = np.random.Generator(np.random.PCG64(19991231)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -497,10 +500,12 @@ def cut_texts(texts_table: pa.Table, found: pa.Table) -> pa.Table:
 def deduplicated(df: DataFrame, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (keep_bytes) the remaining bytes."""
     spark = df.sparkSession
-    docs = df.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = rows.filter("doc_id is not null")
     common.arrow_rows(spark)
-    packs = common.parts_for(docs.count(), PACK_DOCS, 1)
-    parts = common.shuffle_parts(spark)
+    count, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    packs = max(common.parts_for(count, PACK_DOCS, 1), common.parts_for(size, PACK_BYTES))
+    parts = common.parts_for(packs, TASK_PACKS, common.shuffle_parts(spark))
     n_buckets, n_judges = packs * BUCKETS, packs
     # One exchange: the three steps below read the same shuffle files.
     packed = docs.withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs))).repartition(parts, "pack")
@@ -516,7 +521,11 @@ def deduplicated(df: DataFrame, keep_bytes: bool = True) -> DataFrame:
         return out if keep_bytes else out.drop_columns(["kept"])
 
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return packed.groupBy("pack").cogroup(found.repartition(parts, "pack").groupBy("pack")).applyInArrow(last, kind + (", kept binary" if keep_bytes else ""))
+    out = packed.groupBy("pack").cogroup(found.repartition(parts, "pack").groupBy("pack")).applyInArrow(last, kind + (", kept binary" if keep_bytes else ""))
+    text, none = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    whole = [F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256")]
+    nameless = rows.filter("doc_id is null").select("doc_id", *whole, *([F.encode(text, "UTF-8").alias("kept")] if keep_bytes else []))
+    return out.unionByName(nameless)
 
 
 def op8_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
