@@ -98,6 +98,8 @@ def test_resampling_and_blocks():
     assert np.abs(audio.resample(tone)[50:-50]).max() == pytest.approx(1, abs=0.05)
     raw = np.random.default_rng(1).integers(0, 256, audio.BLOCK * 2 + 777, dtype=np.uint8).tobytes()
     mel, energy = audio.features(raw)
+    whole, loud = audio.log_mel(audio.resample((np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128))
+    assert np.allclose(mel, whole, atol=1e-12) and np.allclose(energy, loud, atol=1e-12)  # blocks do not show
     assert len(mel) == len(energy) == -(-(-(-len(raw) * 2 // 3) - audio.FRAME) // audio.HOP) + 1
 
 
@@ -234,6 +236,11 @@ def test_bpe_equals_the_other_library(docs, reference):
         ids = reference.encode_ordinary(t or "")
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert got[i].decoded_sha256 == hashlib.sha256(utf8(t)).hexdigest()
+        sizes = [len(reference.decode_single_token_bytes(k)) for k in ids]
+        ends = np.cumsum(np.array(sizes, "<i8"))
+        assert got[i].offsets_sha256 == hashlib.sha256(ends.tobytes()).hexdigest()
+        assert got[i].n_split == sum(utf8(t)[e] & 0xC0 == 0x80 for e in ends[:-1])
+    assert got[11].n_split > 0  # an emoji takes several tokens
 
 
 @settings(max_examples=200, deadline=None)
@@ -313,6 +320,40 @@ def test_exact_dedup(docs, group, monkeypatch):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(min(m) for m in normal.values())
 
 
+def test_forged_fingerprints_end(spark, monkeypatch):
+    """More different texts than GROUP under one fingerprint: equal ones still meet."""
+    monkeypatch.setattr(exact_dedup, "GROUP", 2)
+
+    def forged(batches):
+        """The comparison without its check of the fingerprint."""
+        key, chosen = None, {}
+        for batch in batches:
+            out = []
+            for fp, n, salt, doc, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if key != (fp, n, salt):
+                    key, chosen = (fp, n, salt), {}
+                out.append((fp, n, doc, chosen.setdefault(text, doc)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["fp", "n_bytes", "doc_id", "rep"])
+
+    rows = [(5, 1, i, 40, f"t{i % 20}", hashlib.sha256(f"t{i % 20}".encode()).hexdigest()) for i in range(40)]
+    monkeypatch.setattr(exact_dedup, "compare_sorted", forged)
+    members = spark.createDataFrame(rows, "fp long, n_bytes long, doc_id long, size long, text string, text_sha256 string")
+    got = {r.doc_id: r.rep for r in exact_dedup.compared(members).collect()}
+    assert got == {i: i % 20 for i in range(40)}
+
+
+@pytest.mark.parametrize("name", ["op2", "op3", "op5", "op7", "op8", "op10"])
+def test_rows_without_doc_id_are_reported(spark, tmp_path, name):
+    rows = [(None, "some words that nobody else has, twice"), (None, None), (1, "some words that nobody else has, twice"), (2, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    query = next(q for n, q in registry.queries().items() if n.startswith(name + "_"))
+    got = query(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 2), (True, 0), (True, 0)]
+    if name in ("op7", "op10"):
+        assert all(r.kept for r in got)
+
+
 # ---- op8
 
 
