@@ -8,7 +8,7 @@ one thing ("m") are refused.
 from __future__ import annotations
 
 import re
-import statistics
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -76,7 +76,15 @@ CANONICAL = {
 SHIFT = {"celsius": 0.0, "fahrenheit": -32 * 5 / 9, "kelvin": -273.15}
 INVERSE = 1e7
 
-QUANTITY = re.compile(r"(-?\d+\.?\d*(?:[eE]-?\d+)?)(?:([-±])(-?\d+\.?\d*))?\s*([\w\sμ°/^⁻¹-]+?)\.?")
+#: One grammar for scalars and columns: an amount, then a unit. The second number of an amount
+#: is an uncertainty or the far end of a range.
+NUMBER = r"-?[0-9]+(?:\.[0-9]*)?(?:[eE]-?[0-9]+)?"
+AMOUNT = rf"^({NUMBER})(?:([±-])({NUMBER}))?"
+UNCERTAIN, RANGE = "±", "-"
+
+
+class Refused(ValueError, KeyError):
+    """Text that is no quantity, or a unit that is unknown, ambiguous or out of place."""
 
 
 @dataclass(frozen=True)
@@ -87,53 +95,55 @@ class Quantity:
     precision: float | None = None
 
 
+def signed(text: str) -> str:
+    return text.strip().replace("−", "-")
+
+
+def unit_text(rest: str) -> str:
+    return rest.strip().removesuffix(".").rstrip()
+
+
+def plain(spelling: str) -> str:
+    return " ".join(spelling.replace("_", " ").split()).lower()
+
+
 class Units:
     """A set of spellings. ``forbidden``: spelling -> why it is refused."""
 
     def __init__(self, rows=UNITS, forbidden: dict[str, str] | None = None):
-        self.forbidden = FORBIDDEN if forbidden is None else forbidden
-        self.factor = {u: f for _, u, f, _ in rows}
-        self.dimension = {u: d for d, u, _, _ in rows}
-        self.unit_of: dict[str, str] = {}
-        for _, unit, _, spellings in rows:
-            for s in spellings.split():
-                key = s.replace("_", " ").lower()
-                if key in self.unit_of:
-                    raise KeyError(f"{s!r} is spelled twice")
-                self.unit_of[key] = unit
+        self.reasons = {plain(k): why for k, why in (FORBIDDEN if forbidden is None else forbidden).items()}
+        self.dimension, self.factor = ({name: row[k] for row in rows for name in [row[1]]} for k in (0, 2))
+        spelled = Counter(plain(s) for *_, all_of_it in rows for s in all_of_it.split())
+        if twice := [s for s, n in spelled.items() if n > 1]:
+            raise Refused(f"spelled twice: {twice}")
+        self.names = {plain(s): name for _, name, _, all_of_it in rows for s in all_of_it.split()}
 
     def unit(self, text: str) -> str:
-        key = " ".join(text.split()).lower()
-        if key in self.forbidden:
-            raise KeyError(f"{text!r}: {self.forbidden[key]}")
-        if key not in self.unit_of:
-            raise KeyError(f"unknown unit {text!r}")
-        return self.unit_of[key]
+        word = plain(text)
+        name = None if word in self.reasons else self.names.get(word)
+        if name is None:
+            raise Refused(f"{text!r}: {self.reasons.get(word, 'unknown unit')}")
+        return name
 
     def parse(self, text: str, allow_range: bool = False) -> Quantity:
-        """"1.25 h", "10 ± 2 mL", and with ``allow_range`` "1-2 h" (mean and deviation)."""
-        match = QUANTITY.fullmatch(text.strip().replace("−", "-"))
-        if match is None:
-            raise ValueError(f"no value with units: {text!r}")
-        first, sign, second, spelled = match.groups()
-        value, precision = float(first), None
-        if sign == "±":
-            precision = float(second)
-        elif sign is not None:
-            if not allow_range:
-                raise ValueError(f"a range: {text!r}")
-            ends = (value, float(second))
-            value, precision = statistics.fmean(ends), statistics.pstdev(ends)
+        """"1.25 h", "10±2 mL", and with ``allow_range`` "1-2 h" (its middle and half its width)."""
+        text = signed(text)
+        amount = re.match(AMOUNT, text)
+        spelled = unit_text(text[amount.end() :]) if amount else ""
+        if not spelled or spelled[0] in (UNCERTAIN, RANGE) or amount[2] == RANGE and not allow_range:
+            raise Refused(f"no single value with a unit: {text!r}")
+        near, far = float(amount[1]), float(amount[3] or 0)
+        value, width = ((near + far) / 2, abs(far - near) / 2) if amount[2] == RANGE else (near, far)
         unit = self.unit(spelled)
-        if value < 0 and self.dimension[unit] != "temperature":
-            raise ValueError(f"negative: {text!r}")
-        return Quantity(self.dimension[unit], value, unit, precision or None)
+        if value < 0 and unit not in SHIFT:
+            raise Refused(f"negative: {text!r}")
+        return Quantity(self.dimension[unit], value, unit, width or None)
 
     def convert(self, q: Quantity, to: str) -> Quantity:
         """``to`` is a unit's name or any of its spellings."""
         to = to if to in self.factor else self.unit(to)
         if self.dimension[to] != q.dimension:
-            raise ValueError(f"{q.dimension} cannot become {self.dimension[to]}")
+            raise Refused(f"{q.dimension} cannot become {self.dimension[to]}")
         ratio = self.factor[q.unit] / self.factor[to]
         if q.dimension == "temperature":
             celsius = q.value * self.factor[q.unit] + SHIFT[q.unit]
@@ -179,19 +189,20 @@ def canonical_precision(value: Column, precision: Column, unit: Column, dimensio
     return _among(unit, dimension, lambda u, f: precision * f / target)
 
 
-def parsed(text: Column, rows=UNITS) -> Column:
-    """struct(value, precision, unit, dimension) of a quantity's text, null where it has none. No ranges."""
+def parsed(text: Column, rows=UNITS, allow_range: bool = False) -> Column:
+    """struct(value, precision, unit, dimension) of a quantity's text, null where ``Units.parse`` refuses it."""
     text = F.trim(F.replace(text, F.lit("−"), F.lit("-")))
-    pattern = r"^(-?\d+\.?\d*(?:[eE]-?\d+)?)(?:±(-?\d+\.?\d*))?\s*([^\d\s.][^.]*?|1/cm)\.?$"
-    spelled = F.lower(F.regexp_replace(F.regexp_extract(text, pattern, 3), r"\s+", " "))
-    names = [F.lit(x) for _, u, _, s in rows for name in s.split() for x in (name.replace("_", " ").lower(), u)]
-    dims = [F.lit(x) for d, u, _, _ in rows for x in (u, d)]
-    unit = F.create_map(*names)[spelled]
-    dimension = F.create_map(*dims)[unit]
-    value = F.regexp_extract(text, pattern, 1).try_cast("double")
-    precision = F.regexp_extract(text, pattern, 2).try_cast("double")
-    good = text.rlike(pattern) & unit.isNotNull() & ((value >= 0) | (dimension == "temperature"))
-    return F.when(good, F.struct(value.alias("value"), F.when(precision != 0, precision).alias("precision"), unit.alias("unit"), dimension.alias("dimension")))
+    near, joint, far = (F.regexp_extract(text, AMOUNT, k) for k in (1, 2, 3))
+    near, far = near.try_cast("double"), F.coalesce(far.try_cast("double"), F.lit(0.0))
+    spelled = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, AMOUNT, ""), r"^[\s_]+|[\s_]*\.?$", ""), r"[\s_]+", " "))
+    allowed = [(s, name) for s, name in Units(rows).names.items() if s not in FORBIDDEN]
+    unit = F.create_map(*[F.lit(x) for pair in allowed for x in pair])[spelled]
+    dimension = F.create_map(*[F.lit(x) for d, u, _, _ in rows for x in (u, d)])[unit]
+    span = joint == RANGE
+    value = F.when(span, (near + far) / 2).otherwise(near)
+    width = F.when(span, F.abs(far - near) / 2).otherwise(far)
+    good = near.isNotNull() & unit.isNotNull() & ((value >= 0) | (dimension == "temperature")) & (F.lit(allow_range) | ~span)
+    return F.when(good, F.struct(value.alias("value"), F.when(width != 0, width).alias("precision"), unit.alias("unit"), dimension.alias("dimension")))
 
 
 def formatted(value: Column, precision: Column, unit: Column) -> Column:

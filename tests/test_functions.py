@@ -61,10 +61,22 @@ def test_unit_columns_agree_with_scalars(spark):
             assert r.x == pytest.approx(want.value) and r.y == pytest.approx(want.precision)
 
 
+def scalar(text, allow):
+    try:
+        q = u.Units().parse(text, allow)
+    except u.Refused:
+        return None
+    return q.value, q.precision, q.unit, q.dimension
+
+
 def test_parsed_and_formatted_columns(spark):
     df = spark.createDataFrame([("1.25 h",), ("10±2 mL",), ("-4 g",), ("-4 K",), ("nothing",), (None,), ("1 mL/min",)], "t string")
     got = [None if r[0] is None else (r[0]["value"], r[0]["precision"], r[0]["unit"]) for r in df.select(u.parsed(F.col("t"))).collect()]
     assert got == [(1.25, None, "hour"), (10.0, 2.0, "milliliter"), None, (-4.0, None, "kelvin"), None, None, (1.0, None, "milliliter_per_minute")]
+    texts = ["1-2 h", "3e-2 g", "7 ± 1 g", "5 cm^-1.", "2 m", "−5 degrees_C", "1.5±0.5  mm Hg", "2-", "4 parsec", "-3 - 4 K", "6±6 g."]
+    for allow in (False, True):
+        got = [r[0] and tuple(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(u.parsed(F.col("t"), allow_range=allow)).collect()]
+        assert got == [scalar(t, allow) for t in texts] and sum(x is not None for x in got) == 5 + allow
     df = spark.createDataFrame([(5.0, 0.1, "mL"), (2.5, None, "g"), (None, None, "g")], "v double, p double, x string")
     assert [r[0] for r in df.select(u.formatted(F.col("v"), F.col("p"), F.col("x"))).collect()] == ["5 (± 0.1) mL", "2.5 g", None]
     moles = spark.createDataFrame([(0.01, 0.5), (2.0, 1.0)], "v double, c double").select(u.solute_moles(F.col("v"), F.col("c")).alias("m")).collect()
