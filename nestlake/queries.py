@@ -128,7 +128,27 @@ for _op, _sign in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt",
 over_orders("text_contains", {"where": leaf("contains", "o_orderpriority", "URG")}, HAS.format("contains(o_orderpriority, 'URG')"))
 over_orders("text_starts_with", {"where": leaf("starts_with", "o_orderpriority", "2")}, HAS.format("starts_with(o_orderpriority, '2')"))
 over_orders("text_ends_with", {"where": leaf("ends_with", "o_orderpriority", "LOW")}, HAS.format("ends_with(o_orderpriority, 'LOW')"))
-over_orders("nullcheck", {"where": either({"op": "is_null", "path": "o_orderstatus"}, {"op": "not_null", "path": "o_totalprice"})}, HAS.format("o_orderstatus IS NULL OR o_totalprice IS NOT NULL"))
+@register("nullcheck", "SELECT o_orderkey FROM orders LEFT JOIN (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS b, CASE WHEN c_nationkey < 9 THEN NULL ELSE c_nationkey END AS k FROM customer) ON c_custkey = o_custkey WHERE b IS NULL OR k IS NOT NULL")
+def nullcheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves that are null in some rows, and structs that are null as a whole."""
+    c = frames.table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance")).alias("account"), F.when(F.col("c_nationkey") >= 9, F.struct(F.col("c_nationkey").alias("key"))).alias("nation"))
+    df = frames.table(spark, sf_dir, "orders").join(c.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "left")
+    return compile_query({"where": either({"op": "is_null", "path": "account.balance"}, {"op": "not_null", "path": "nation"})}, df, "o_orderkey")
+
+
+@register(
+    "sum_avg_by_measure",
+    "SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY ALL ORDER BY avg(o_totalprice) DESC LIMIT 5",
+)
+def sum_avg_by_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum and average measures, ordered by one of them, the first five groups."""
+    query = {
+        "aggregate": {"group_by": ["o_orderstatus", "o_orderpriority"], "measures": [{"fn": "sum", "name": "total", "path": "o_totalprice"}, {"fn": "avg", "name": "mean", "path": "o_totalprice"}]},
+        "order_by": [{"key": "mean", "descending": True}], "limit": 5,
+    }
+    return compile_query(query, frames.orders(spark, sf_dir), "o_orderkey").withColumns({"total": F.round("total", 2), "mean": F.round("mean", 4)})
+
+
 over_orders(
     "logic_tree", {"where": both(either(leaf("eq", "o_orderstatus", "F"), leaf("eq", "o_orderstatus", "O")), negate(leaf("lt", "o_totalprice", 200000)))},
     HAS.format("(o_orderstatus = 'F' OR o_orderstatus = 'O') AND NOT (o_totalprice < 200000)"),
@@ -416,13 +436,18 @@ def fk_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("top"))
 
 
-@register("union_paths", "SELECT c_nationkey AS nation, 'customer' AS via FROM customer UNION SELECT s_nationkey, 'supplier' FROM supplier")
+@register("union_paths", "SELECT n_name AS nation, r_name AS region, 'customer' AS via FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey UNION SELECT n_name, r_name, 'supplier' FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
 def union_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import tables
 
-    a = frames.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.lit("customer").alias("via"))
-    b = frames.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("via"))
-    return tables.union_paths([a, b], distinct=True)
+    place = frames.table(spark, sf_dir, "nation").join(frames.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+    def path(name: str, key: str) -> DataFrame:
+        """One way through the foreign keys: from a table over nations to regions."""
+        met = frames.table(spark, sf_dir, name).select(key).distinct().join(place, F.col(key) == F.col("n_nationkey"))
+        return met.select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"), F.lit(name).alias("via"))
+
+    return tables.union_paths([path("customer", "c_nationkey"), path("supplier", "s_nationkey")], distinct=True)
 
 
 # ---- rules, units, templates, relational form
@@ -496,16 +521,96 @@ def id_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "role_pivot_roundtrip",
-    "SELECT c_custkey, count(o_orderkey) AS orders, sum(n)::BIGINT AS lines FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1",
+    """SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders, o_orderkey, o_totalprice, l_linenumber, l_partkey, l_quantity
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey""",
 )
 def role_pivot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested records to tables and back, then counted."""
+    """Nested records to tables and back, then every value of every level."""
     from .operators import relational
 
     df = frames.customers(spark, sf_dir).select("c_custkey", "c_name", "orders")
     back = relational.recomposed(relational.decomposed(df, "c_custkey"), df.schema)
-    lines = F.aggregate(F.filter(F.transform("orders", lambda o: F.size(o["lines"])), lambda n: n >= 0), F.lit(0).cast("long"), lambda a, n: a + n)
-    return back.select("c_custkey", F.coalesce(F.size(F.col("orders")), F.lit(0)).cast("long").alias("orders"), F.when(F.size(F.filter(F.transform("orders", lambda o: F.size(o["lines"])), lambda n: n >= 0)) > 0, lines).alias("lines"))
+    count = F.coalesce(F.size("orders"), F.lit(0)).cast("long").alias("orders")
+    rows = back.select("c_custkey", "c_name", count, F.explode_outer("orders").alias("o")).select("c_custkey", "c_name", "orders", "o.o_orderkey", "o.o_totalprice", F.explode_outer("o.lines").alias("l"))
+    return rows.select("c_custkey", "c_name", "orders", "o_orderkey", "o_totalprice", "l.l_linenumber", "l.l_partkey", "l.l_quantity")
+
+
+#: A workup, a measurement and an input made of each line, field by field, as SQL that Spark and DuckDB share.
+WORKUP = {
+    "type": "CASE l_linenumber % 8 WHEN 0 THEN 'WAIT' WHEN 1 THEN 'TEMPERATURE' WHEN 2 THEN 'EXTRACTION' WHEN 3 THEN 'WASH' WHEN 4 THEN 'STIRRING' WHEN 5 THEN 'PH_ADJUST' WHEN 6 THEN 'ALIQUOT' ELSE 'CUSTOM' END",
+    "details": "CASE WHEN l_quantity > 25 THEN 'd' ELSE '' END", "wait": "CASE WHEN l_quantity > 10 THEN l_quantity END", "kelvin": "CASE WHEN l_tax > 0.04 THEN 300.0 END",
+    "phase": "CASE WHEN l_returnflag = 'A' THEN 'organic' END", "rpm": "CASE WHEN l_returnflag <> 'R' THEN 100 END", "ph": "CASE WHEN l_quantity > 5 THEN l_quantity / 3 END",
+    "grams": "CASE WHEN l_discount < 0.03 THEN l_quantity END", "moles": "CASE WHEN l_discount > 0.07 THEN l_tax END", "added": "l_partkey % 3",
+}
+MEASUREMENT = {
+    "type": "CASE l_linenumber % 5 WHEN 0 THEN 'IDENTITY' WHEN 1 THEN 'YIELD' WHEN 2 THEN 'AREA' WHEN 3 THEN 'SELECTIVITY' ELSE 'UNSPECIFIED' END", "details": "''", "analysis": "CASE WHEN l_quantity > 20 THEN 'a' ELSE '' END",
+    "percent": "CASE WHEN l_discount > 0.04 THEN l_discount END", "number": "CASE WHEN l_tax > 0.05 THEN l_tax END", "selectivity": "CASE WHEN l_returnflag = 'N' THEN 'EE' END",
+}
+
+
+def counted(rules: dict[tuple[str, str], str], fields: dict[str, str]) -> str:
+    """SQL that counts the records and problems of each (severity, rule) by the condition of a fault."""
+    rows = "WITH t AS (SELECT l_orderkey AS id, " + ", ".join(f"{sql} AS {name}" for name, sql in fields.items()) + " FROM lineitem)"
+    return rows + " UNION ALL ".join(f" SELECT '{s}' AS severity, '{r}' AS rule, count(DISTINCT id) AS records, count(*) AS problems FROM t WHERE {c} HAVING count(*) > 0" for (s, r), c in rules.items())
+
+
+def from_lines(spark: SparkSession, sf_dir: str, fields: dict[str, str], element) -> DataFrame:
+    """id, steps: each order's lines as elements of a level."""
+    flat = frames.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS id", *[f"{sql} AS {name}" for name, sql in fields.items()])
+    return flat.groupBy("id").agg(F.collect_list(element).alias("steps"))
+
+
+@register(
+    "validate_workups",
+    counted(
+        {
+            ("ERROR", "type_details"): "type = 'CUSTOM' AND details = ''", ("WARNING", "wait_needs_duration"): "type = 'WAIT' AND wait IS NULL",
+            ("WARNING", "temperature_needs_temperature"): "type = 'TEMPERATURE' AND kelvin IS NULL", ("WARNING", "extraction_or_filtration_needs_keep_phase"): "type = 'EXTRACTION' AND phase IS NULL",
+            ("WARNING", "stirring_needs_stirring"): "type = 'STIRRING' AND rpm IS NULL", ("WARNING", "ph_adjust_needs_target_ph"): "type = 'PH_ADJUST' AND ph IS NULL",
+            ("WARNING", "workup_needs_input"): "type IN ('WASH', 'PH_ADJUST') AND added = 0", ("WARNING", "target_ph_range"): "ph > 14",
+            ("WARNING", "aliquot_amount"): "type = 'ALIQUOT' AND grams IS NULL", ("WARNING", "amount_of_aliquots"): "type NOT IN ('ALIQUOT', 'CUSTOM') AND (grams IS NOT NULL OR moles IS NOT NULL)",
+        },
+        WORKUP,
+    ),
+)
+def validate_workups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of workups, counted."""
+    from .operators import record_rules, rules
+
+    some_value = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("value")))
+    parts = F.when(F.col("added") > 0, F.array(F.struct(F.col("added").alias("n")))).otherwise(F.array().cast("array<struct<n:bigint>>"))
+    none = F.lit(None).cast("struct<value:double>")
+    amount = F.struct(some_value("grams").alias("mass"), some_value("moles").alias("moles"), none.alias("volume"), none.alias("unmeasured"))
+    step = F.struct(
+        "type", "details", some_value("wait").alias("duration"), some_value("kelvin").alias("temperature"), F.col("phase").alias("keep_phase"), some_value("rpm").alias("stirring"),
+        F.col("ph").alias("target_ph"), F.struct(parts.alias("components")).alias("input"), amount.alias("amount"),
+    )
+    df = from_lines(spark, sf_dir, WORKUP, step)
+    return rules.summary(rules.violations(df, "id", record_rules.applicable(df.schema, record_rules.workups("steps"))))
+
+
+@register(
+    "validate_measurements",
+    counted(
+        {
+            ("ERROR", "type_specified"): "type = 'UNSPECIFIED'", ("WARNING", "measurement_has_analysis"): "analysis = ''", ("ERROR", "identity_has_no_value"): "type = 'IDENTITY' AND (percent IS NOT NULL OR number IS NOT NULL)",
+            ("WARNING", "share_in_percent"): "type = 'YIELD' AND percent IS NULL", ("ERROR", "signal_is_numeric"): "type = 'AREA' AND percent IS NULL AND number IS NULL",
+            ("ERROR", "selectivity_only_for_selectivity"): "selectivity IS NOT NULL AND type <> 'SELECTIVITY'",
+        },
+        MEASUREMENT,
+    ),
+)
+def validate_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of measurements, counted."""
+    from .operators import record_rules, rules
+
+    none = F.lit(None).cast("string")
+    step = F.struct(
+        "type", "details", F.col("analysis").alias("analysis_key"), F.when(F.col("percent").isNotNull(), F.struct(F.col("percent").alias("value"))).alias("percentage"), F.col("number").alias("float_value"),
+        none.alias("string_value"), none.alias("mass"), "selectivity",
+    )
+    df = from_lines(spark, sf_dir, MEASUREMENT, step)
+    return rules.summary(rules.violations(df, "id", record_rules.applicable(df.schema, record_rules.measurements("steps"))))
 
 
 @register("submitted_at", "SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_type)) AS event_type FROM events GROUP BY user_id")
