@@ -26,13 +26,22 @@ FEATURES = (
 )
 
 
+#: Fixed value: bits below the partition's number in Spark's increasing ids.
+RANGE_BITS = 33
+
+
 def first_seen_ids(df: DataFrame, value: str, position: list[str], name: str = "structure_id") -> DataFrame:
     """value, id: 0, 1, ... in the order of first appearance. Nulls get none.
 
-    The dictionary, not the data, is sorted in one place: its rows are distinct values.
+    The dictionary is sorted by ranges and kept; a value's id is its row in its range plus
+    the sizes of the ranges before, so only one count for each range meets in a task.
     """
     first = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*position)).alias("_at"))
-    return first.select(value, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_at", value)) - 1).cast("long").alias(name))
+    ranged = first.orderBy("_at", value).withColumn("_row", F.monotonically_increasing_id()).persist()
+    part, row = F.shiftright("_row", RANGE_BITS).alias("_part"), F.col("_row").bitwiseAND(F.lit((1 << RANGE_BITS) - 1))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return ranged.withColumn("_part", part).join(starts, "_part").select(value, (F.col("_start") + row).cast("long").alias(name))
 
 
 def hashed_ids(df: DataFrame, value: str, name: str = "structure_id") -> DataFrame:

@@ -128,3 +128,16 @@ def test_timeout(spark):
     with pytest.raises(TimeoutError):
         timed(spark, spark.range(1).select(slow("id")).collect, 2.0)
     assert timed(spark, lambda: 5, 1.0) == 5
+
+
+def test_first_seen_ids_over_many_ranges(spark):
+    from nestlake.operators.structures import first_seen_ids
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        values = [f"v{(k * 7919) % 997}" for k in range(5000)]
+        df = spark.createDataFrame([(k, v) for k, v in enumerate(values)] + [(-1, None)], "at long, v string").repartition(7)
+        found = first_seen_ids(df, "v", ["at"])
+        assert {r.v: r.structure_id for r in found.collect()} == {v: i for i, v in enumerate(dict.fromkeys(values))}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
