@@ -54,17 +54,22 @@ def pivot(df: DataFrame, path: str, id_column: str, offset: str | None = None) -
 
 
 def occurrences(df: DataFrame, id_column: str, paths: list[str], offset: str | None = None) -> DataFrame:
-    """(id, path, global_id, reaction_role) of every element that carries a structure.
-
-    Paths may end in a struct below a level. Refuses duplicated ids: an index keyed by
-    them would answer for the wrong record.
-    """
+    """``occurrence_rows`` of records whose ids are distinct: an index keyed by others would answer for the wrong record."""
     from ..errors import ArtifactError
-    from ..schema import resolve
 
     twice = df.groupBy(id_column).count().filter("count > 1").limit(1).collect()
     if twice:
         raise ArtifactError(f"duplicate {id_column}: {twice[0][0]!r}")
+    return occurrence_rows(df, id_column, paths, offset)
+
+
+def occurrence_rows(df: DataFrame, id_column: str, paths: list[str], offset: str | None = None) -> DataFrame:
+    """(id, path, global_id, reaction_role) of every element that carries a structure.
+
+    Paths may end in a struct below a level.
+    """
+    from ..schema import resolve
+
     parts = []
     for path in paths:
         found = resolve(path, df.schema, allow_internal=True)

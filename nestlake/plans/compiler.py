@@ -3,7 +3,8 @@
 Each quantifier has up to three routes with the same answer:
 
 * elements: a higher-order function over the nested column. The leaves that the body
-  reads are zipped first, so the scan reads them and nothing else of the level.
+  reads are zipped first, so the scan reads them and nothing else of the level. A structure
+  predicate looks its element up among the record's own matches, which one join brings.
 * pivot: EXISTS or NOT EXISTS over the flattened level, correlated on the record's id
   and every enclosing ordinal; Catalyst makes it a semi, anti or existence join.
 * index: a semi join with the occurrences of matching structures.
@@ -37,7 +38,7 @@ class Tables(Protocol):
     def pivot(self, path: str) -> DataFrame | None: ...
     def occurrences(self) -> DataFrame | None: ...
     def matches(self, node: Node) -> DataFrame | None: ...
-    def match_words(self, node: Node) -> list[int] | None: ...
+    def record_hits(self, node: Node) -> DataFrame | None: ...
 
 
 @dataclass(frozen=True)
@@ -103,6 +104,7 @@ class Compiler:
         self.df, self.id, self.tables, self.route, self.bound, self.offset = df, id_column, tables, route, bound or {}, offset
         self.struct = df.schema
         self.routes: list[tuple[str, str]] = []  # (level, route taken), for tests and explanations
+        self.hits: dict[str, DataFrame] = {}  # column -> (id, matching structures of the record)
 
     # ---- leaves
 
@@ -269,9 +271,9 @@ class Compiler:
         own = resolve((".".join([*node.path.split(".")[:-1], "structure_id"])), scope.struct, allow_internal=True)
         number = scope.read(own.hops)
         number = number + F.col(f"`{self.offset}`") if self.offset else number
-        words = F.array(*[F.lit(w).cast("long") for w in self.tables.match_words(bound)])
-        word = F.get(words, F.floor(number / 64).cast("int"))
-        return F.coalesce(F.getbit(word, F.pmod(number, F.lit(64)).cast("int")) == 1, F.lit(False))
+        name = f"_hits{len(self.hits)}"
+        self.hits[name] = self.tables.record_hits(bound)
+        return F.coalesce(F.array_contains(F.col(name), number.cast("long")), F.lit(False))
 
     def bound_pattern(self, compound: str) -> str:
         if compound not in self.bound:
@@ -349,7 +351,11 @@ class Compiler:
             raise QueryError(f"not bound: {', '.join(missing)}")
         df = self.df
         if q.where is not None:
-            df = df.withColumn(OUTER, F.col(f"`{self.id}`")).where(self.predicate(q.where, Scope(self.struct))).drop(OUTER)
+            where = self.predicate(q.where, Scope(self.struct))
+            for name, found in self.hits.items():
+                held = found.select(F.col(f"`{self.id}`").alias("_hit_id"), F.col("hits").alias(name))
+                df = df.join(held, F.col(f"`{self.id}`").eqNullSafe(F.col("_hit_id")), "left").drop("_hit_id")
+            df = df.withColumn(OUTER, F.col(f"`{self.id}`")).where(where).drop(OUTER, *self.hits)
         if q.aggregate is not None:
             return self.ordered(self.aggregate(df, q.aggregate), q)
         needed = [self.id] + [c for c in df.columns if c != self.id and q.order_by]

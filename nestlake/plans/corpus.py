@@ -17,16 +17,14 @@ from pyspark.sql import functions as F
 
 from ..errors import ArtifactError, QueryError
 from ..functions.chem import Chemistry, available
-from ..functions.fingerprint import words_of
 from ..operators import pivot as pivots
 from ..operators import structures as st
 from ..schema import describe, level
+from .artifacts import paired
 from .compiler import Compiler
 from .grammar import Node, Query, compounds, parse_query
 
 CACHED_MATCHES = 16
-#: Structures up to which a match set may travel inside a plan as bits (128 kB).
-INLINE_STRUCTURES = 1 << 20
 
 
 class Corpus:
@@ -37,7 +35,7 @@ class Corpus:
             raise ArtifactError("an empty corpus")
         self.id, self.chemistry, self.resolver = id_column, chemistry or available(), resolver
         self.lock = threading.RLock()
-        self.sizes = [0 if s is None else s.count() for _, s in parts]
+        self.sizes = [0 if s is None else s.select("structure_id").count() for _, s in parts]
         starts = [sum(self.sizes[:i]) for i in range(len(parts))]
         self.structured = any(s is not None for _, s in parts)
         records, library = None, None
@@ -54,6 +52,12 @@ class Corpus:
         self._occurrences: DataFrame | None = None
         self._matches: OrderedDict[tuple, DataFrame] = OrderedDict()
 
+    @classmethod
+    def published(cls, spark: SparkSession, projections: list[str], structures: list[str], id_column: str, chemistry: Chemistry | None = None, resolver: Callable[[str], str] | None = None) -> Corpus:
+        """A corpus of written artifacts, paired by their source. Sizes come from the files' footers."""
+        parts = [(spark.read.parquet(a), spark.read.parquet(b)) for a, b in paired(spark, projections, structures)]
+        return cls(parts, id_column, chemistry, resolver)
+
     @property
     def spark(self) -> SparkSession:
         return self.records.sparkSession
@@ -112,11 +116,14 @@ class Corpus:
             return st.containing(self.library, node.pattern, self.chemistry)
         return st.same(self.library, node.pattern, self.chemistry, parent=node.op == "same_parent")
 
-    def match_words(self, node: Node) -> list[int]:
-        total = sum(self.sizes)
-        if total > INLINE_STRUCTURES:
-            raise QueryError(f"{total} structures are too many to test element by element; use the pivot or index route")
-        return words_of([r[0] for r in self.matches(node).collect()], max(total, 1))
+    def record_hits(self, node: Node) -> DataFrame:
+        """id, hits: the matching structures of each record that has any. No match set leaves the executors."""
+        places = self._occurrences
+        if places is None:
+            paths = pivots.structure_paths(self.records.schema)
+            places = pivots.occurrence_rows(self.records, self.id, paths, "_structure_offset")
+        met = places.join(self.matches(node), "global_id", "left_semi")
+        return met.groupBy(self.id).agg(F.collect_set("global_id").alias("hits"))
 
     # ---- use
 

@@ -41,7 +41,7 @@ class InlinePivots:
     def matches(self, node):
         raise NotImplementedError
 
-    def match_words(self, node):
+    def record_hits(self, node):
         raise NotImplementedError
 
 
@@ -312,7 +312,7 @@ def part_corpus(spark: SparkSession, sf_dir: str):
     lines = frames.table(spark, sf_dir, "lineitem").join(parts, "l_partkey", "left")
     held = F.struct("smiles", F.col("structure_id"), F.col("l_returnflag").alias("reaction_role"), "l_quantity", "l_linenumber")
     records = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(held)).alias("components"))
-    library = part_library(spark, sf_dir).withColumn("structure_id", F.col("structure_id") - 1).drop("global_id")
+    library = part_library(spark, sf_dir).withColumn("structure_id", F.col("structure_id") - 1).drop("global_id").persist()
     return Corpus([(records, library)], "o_orderkey", TextChemistry())
 
 

@@ -1,7 +1,9 @@
 """Incremental derivation as a stream: new source files are derived once, restarts resume.
 
-The checkpoint remembers which files were read. Each micro-batch drops ids that the
-target already has, so a batch that is replayed after a crash adds nothing twice.
+The checkpoint remembers which files were read. Each micro-batch has a folder of its own
+in the target (partition column ``batch``), which a replay after a crash replaces as a
+whole; ids that other batches hold are dropped. So nothing is added twice, whatever the
+moment of the crash, and rows without an id count once for each batch that reads them.
 """
 
 from __future__ import annotations
@@ -9,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.tables import incremental
-from ..plans.artifacts import exists
+from ..plans.artifacts import glob
 
 
 def derive_stream(
@@ -23,10 +26,11 @@ def derive_stream(
     """Follow Parquet files under ``source`` and append what ``make`` derives to ``target``."""
 
     def batch(df: DataFrame, number: int) -> None:
-        made = make(df.dropDuplicates([id_column]))
-        if exists(spark, f"{target}/_SUCCESS"):
-            made = incremental(made, spark.read.parquet(target), [id_column])
-        made.write.mode("append").parquet(target)
+        made = make(df.filter(F.col(id_column).isNotNull()).dropDuplicates([id_column]).unionByName(df.filter(F.col(id_column).isNull())))
+        done = [p for p in glob(spark, f"{target}/batch=*") if int(p.rpartition("=")[2]) != number]
+        if done:
+            made = incremental(made, spark.read.parquet(*done), [id_column])
+        made.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
