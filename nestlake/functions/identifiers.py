@@ -48,6 +48,14 @@ def best_identifier(identifiers: Column, order: tuple[str, ...] = ("CXSMILES", "
     return F.coalesce(*[first_of_type(identifiers, kind) for kind in order])
 
 
+def with_identifier(identifiers: Column, kind: str, value: Column) -> Column:
+    """The list with the first identifier of a type replaced, or with one more at its end."""
+    held = F.coalesce(identifiers, F.array().cast("array<struct<type:string,value:string>>"))
+    new = F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    at = F.array_position(F.transform(held, lambda x: x["type"]), kind)
+    return F.when(at > 0, F.transform(held, lambda x, i: F.when(i + 1 == at, new).otherwise(x))).otherwise(F.concat(held, F.array(new)))
+
+
 def split_extension(text: Column) -> Column:
     """struct(core, extension) of text with a trailing |...| block."""
     core = F.regexp_extract(text, r"^(.*?)(?:\s+(\|.*\|))?$", 1)

@@ -31,7 +31,7 @@ class Rule:
     level: str | None = None
 
 
-def _elements(df: DataFrame, path: str, id_column: str) -> DataFrame:
+def elements(df: DataFrame, path: str, id_column: str) -> DataFrame:
     """id, _trace, _at for every element of a level of any depth (arrays and maps)."""
     out = df.select(F.col(id_column), F.lit("").alias("_trace"), F.struct("*").alias("_at"))
     here = df.schema
@@ -58,7 +58,7 @@ def violations(df: DataFrame, id_column: str, rules: list[Rule]) -> DataFrame:
         if path is None:
             rows, read = df.select(F.col(id_column), F.lit("").alias("_trace"), *[F.col(f"`{c}`").alias(f"_v_{c}") for c in df.columns]), _reader(None)
         else:
-            rows, read = _elements(df, path, id_column), _reader(F.col("_at"))
+            rows, read = elements(df, path, id_column), _reader(F.col("_at"))
         found = F.array(*[F.when(~r.holds(read), F.struct(F.lit(r.severity).alias("severity"), F.lit(r.name).alias("rule"), F.lit(r.message).alias("message"))) for r in own])
         parts.append(
             rows.select(F.col(id_column), F.col("_trace").alias("trace"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("_f"))

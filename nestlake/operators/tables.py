@@ -128,6 +128,28 @@ def message_rows(df: DataFrame, id_column: str) -> DataFrame:
     return df.select(id_column, F.explode(F.concat(*parts)).alias("_e")).select(id_column, "_e.key", "_e.value")
 
 
+def submessages(df: DataFrame, id_column: str, kind) -> DataFrame:
+    """(id, trace, value): every struct of exactly the type ``kind`` at any depth, with the way to it."""
+    from pyspark.sql import types as T
+
+    from ..schema import element_struct
+    from .rules import elements
+
+    def paths(struct: T.StructType, at: str):
+        for f in struct.fields:
+            inner = element_struct(f.dataType) or (f.dataType if isinstance(f.dataType, T.StructType) else None)
+            if inner is not None:
+                own = f"{at}.{f.name}" if at else f.name
+                if inner.simpleString() == kind.simpleString():
+                    yield own
+                yield from paths(inner, own)
+
+    found = [elements(df, p, id_column).filter("_at IS NOT NULL").select(id_column, F.col("_trace").alias("trace"), F.col("_at").alias("value")) for p in paths(df.schema, "")]
+    if not found:
+        raise ValueError(f"no {kind.simpleString()} in this schema")
+    return union_paths(found)
+
+
 def varying_keys(rows: DataFrame, id_column: str) -> DataFrame:
     """Of message rows those whose key takes more than one value; being unset is a value."""
     n = rows.select(id_column).distinct().count()

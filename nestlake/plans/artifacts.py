@@ -91,6 +91,10 @@ def write_artifact(df: DataFrame, path: str, stamps: Stamps, overwrite: bool = F
         if not overwrite:
             raise ArtifactError(f"{path} exists")
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    write_stamps(spark, path, stamps)
+
+
+def write_stamps(spark: SparkSession, path: str, stamps: Stamps) -> None:
     fs, p = _fs(spark, f"{path.rstrip('/')}/{STAMPS}")
     stream = fs.create(p, True)
     stream.write(bytearray(json.dumps(asdict(stamps)).encode()))

@@ -10,6 +10,7 @@ import contextlib
 import hashlib
 import os
 import tempfile
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -201,6 +202,22 @@ def concatenated(spark: SparkSession, paths: list[str], layout: Layout = Layout(
     return out
 
 
+def combined(spark: SparkSession, paths: list[str], out: str, layout: Layout = Layout(), **overrides: str) -> Scalars:
+    """One dataset of several, in their order. Scalars that differ come from the first, with a warning, unless given."""
+    parts = [Dataset(spark, p, layout) for p in paths]
+    if not parts:
+        raise ValueError("no datasets")
+    made = {}
+    for name in ("name", "description", "dataset_id"):
+        held = [getattr(p.scalars, name) for p in parts]
+        if name not in overrides and len(set(held)) > 1:
+            warnings.warn(f"{name} differs: {sorted(set(held))}; {held[0]!r} is kept", stacklevel=2)
+        made[name] = overrides.get(name, held[0])
+    rows = ((r[layout.id], bytes(r[layout.blob])) for p in parts for r in p.frame.orderBy("position").toLocalIterator())
+    save(out, scalars := Scalars(**made), rows, layout)
+    return scalars
+
+
 def decoded(rows: DataFrame, decode: Callable[[bytes], dict], schema: str, layout: Layout = Layout()) -> DataFrame:
     """Blobs as records. ``decode`` runs on the executors, batch by batch."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -3,6 +3,7 @@ import os
 import pytest
 
 from duck_rows import compare
+from nestlake import record_queries  # noqa: F401 - registers its queries
 from nestlake.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
