@@ -9,9 +9,12 @@ words (length filter), and has enough words left on both sides of the shared wor
 (positional filter). Survivors are verified on the whole sets. The templates are a
 parameter, so the index has a fixed size and is sent to every executor.
 
-Defined results: a null text counts as empty (no words, no labels, score 0); rows
-without doc_id are kept like others; repeated rows give repeated results; other columns
-are ignored.
+One pass over the texts keeps the words of all phrases and templates that each holds, counts
+them, and keeps the few texts that can qualify at all; the join reads those.
+
+Defined results: a null text counts as empty (no words, no labels, score 0); very long
+texts are read whole; rows without doc_id are kept like others; repeated rows give repeated
+results, so ties cannot arise; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,11 +79,39 @@ def places(words: Column, phrases=PHRASES) -> Column:
     return F.concat(*[of(*p) for p in phrases])
 
 
-def frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Documents that hold each vocabulary word, over the whole corpus. The result has the vocabulary's size."""
-    words = F.split(F.lower("text"), GAP + "+")
-    known = F.array_intersect(words, F.array(*[F.lit(w) for w in vocabulary]))
-    counted = texts.select(F.explode(known).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def vocabulary_of(templates, phrases=()) -> list[str]:
+    return sorted({w for t, *_ in (*templates, *phrases) for w in t.split()})
+
+
+def needed(words: set[str], threshold: float) -> int:
+    return math.ceil(threshold * len(words) - 1e-9)
+
+
+def marked(texts: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, n_words, held, phrased, chosen: all that one pass over the texts says.
+
+    held: known words of the whole text. Neither a block nor a run can have words that its
+    text lacks, so ``chosen`` is the text where some template's need is met, and ``phrased``
+    its words where all of some phrase's words are there; else both are null. Lower case is
+    Unicode's here, which can only add known words; what follows decides by ASCII.
+    """
+    literal = lambda words: F.array(*[F.lit(w) for w in sorted(words)])
+    some_of = lambda parts: F.greatest(*parts, F.lit(False))
+    whole = lambda words, n: F.size(F.array_intersect("held", literal(words))) >= n
+    able = some_of([whole(set(t.split()), needed(set(t.split()), threshold)) for t, _ in templates])
+    says = some_of([whole(set(p.split()), len(set(p.split()))) for p, _ in PHRASES])
+    blank = lambda at: (F.element_at("parts", at) == "").cast("long")
+    split = texts.select("doc_id", "text", F.split(F.lower("text"), GAP + "+").alias("parts"))
+    known = split.select(
+        "doc_id", "text", (F.size("parts") - blank(1) - F.when(F.size("parts") > 1, blank(-1)).otherwise(0)).cast("long").alias("n_words"),
+        F.array_intersect("parts", literal(vocabulary_of(templates, PHRASES))).alias("held"),
+    )
+    return known.select("doc_id", F.xxhash64("text").alias("text_hash"), "n_words", "held", F.when(says, words_of(F.col("text"))).alias("phrased"), F.when(able, F.col("text")).alias("chosen"))
+
+
+def frequencies(docs: DataFrame) -> dict[str, int]:
+    """Documents that hold each known word, over the whole corpus. The result has the vocabulary's size."""
+    counted = docs.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return {r["word"]: r["n"] for r in counted.collect()}
 
 
@@ -90,7 +121,7 @@ def template_index(spark: SparkSession, seen: dict[str, int], templates, thresho
     rows, prefixes = [], set()
     for k, (text, label) in enumerate(templates):
         words = sorted(set(text.split()), key=rank.__getitem__)
-        need = math.ceil(threshold * len(words) - 1e-9)
+        need = needed(set(words), threshold)
         for place, word in enumerate(words[: len(words) - need + 1], 1):
             prefixes.add(word)
             rows.append((word, k, place, len(words), need, words, label))
@@ -98,15 +129,14 @@ def template_index(spark: SparkSession, seen: dict[str, int], templates, thresho
     return spark.createDataFrame(rows, kind), rank, prefixes
 
 
-def spans(texts: DataFrame, index: DataFrame, vocabulary: list[str], prefixes: set[str], lengths: dict[int, int]) -> DataFrame:
+def spans(docs: DataFrame, index: DataFrame, vocabulary: list[str], lengths: dict[int, int]) -> DataFrame:
     """doc_id, text_hash, template, label, size, shared: runs of words that meet a template across block cuts.
 
     A run has the template's length and the words it may lack. It can only qualify if it
     holds a prefix word, so the runs around prefix words are all there are.
     """
     length = F.create_map(*[F.lit(x) for k, n in lengths.items() for x in (k, n)])[F.col("template")]
-    docs = texts.filter(F.col("text").rlike(any_word(prefixes))).select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("all"))
-    held = docs.withColumn("held", F.array_intersect("all", F.array(*[F.lit(w) for w in vocabulary])))
+    held = docs.select("doc_id", "text_hash", words_of(F.col("chosen")).alias("all")).withColumn("held", F.array_intersect("all", F.array(*[F.lit(w) for w in vocabulary])))
     met = (
         held.select("doc_id", "text_hash", "all", "held", F.explode("held").alias("word"))
         .join(F.broadcast(index), "word")
@@ -121,13 +151,17 @@ def spans(texts: DataFrame, index: DataFrame, vocabulary: list[str], prefixes: s
 
 def near_templates(texts: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_hash, block_no (null: a run of words), template, label, containment: all pairs at or above the threshold."""
-    spark = texts.sparkSession
-    vocabulary = sorted({w for t, _ in templates for w in t.split()})
-    index, rank, prefixes = template_index(spark, frequencies(texts, vocabulary), templates, threshold)
+    return joined(marked(texts, templates, threshold), templates, threshold)
+
+
+def joined(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``near_templates`` of what ``marked`` found with the same templates and threshold."""
+    vocabulary = vocabulary_of(templates)
+    index, rank, prefixes = template_index(docs.sparkSession, frequencies(docs), templates, threshold)
     ranks = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
+    docs = docs.filter("chosen is not null").select("doc_id", "text_hash", "chosen")
     blocks = (
-        texts.filter(F.col("text").rlike(any_word(prefixes)))
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", BLOCKS)).alias("block_no", "block"))
+        docs.select("doc_id", "text_hash", F.posexplode(F.split("chosen", BLOCKS)).alias("block_no", "block"))
         .filter(F.col("block").rlike(any_word(prefixes)))
         .select("doc_id", "text_hash", "block_no", F.array_intersect(words_of(F.col("block")), F.array(*[F.lit(w) for w in vocabulary])).alias("held"))
         .withColumn("held", F.transform(F.array_sort(F.transform("held", lambda w: F.struct(ranks[w].alias("r"), w.alias("w")))), lambda x: x["w"]))
@@ -139,7 +173,7 @@ def near_templates(texts: DataFrame, templates=TEMPLATES, threshold: float = THR
         .withColumn("shared", F.size(F.array_intersect("held", "words")))
         .filter("shared >= need")
     )
-    runs = spans(texts, index, vocabulary, prefixes, {k: len(t.split()) for k, (t, _) in enumerate(templates)})
+    runs = spans(docs, index, vocabulary, {k: len(t.split()) for k, (t, _) in enumerate(templates)})
     pairs = pairs.select("doc_id", "text_hash", "block_no", "template", "label", "size", "shared").unionByName(runs, allowMissingColumns=True)
     return pairs.select("doc_id", "text_hash", "block_no", "template", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct()
 
@@ -147,22 +181,19 @@ def near_templates(texts: DataFrame, templates=TEMPLATES, threshold: float = THR
 def scan(df: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of ``df``."""
     texts = df.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    base = "(?i)" + "|".join((GAP + "+").join(p.split()) for p, _ in PHRASES)
-    # A column of its own: inside the lambdas of places() it would be split anew for every place.
-    words = F.when(F.col("text").rlike(base), words_of(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    own = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), words.alias("words"))
-    own = own.withColumn("found", places(F.col("words"))).drop("words")
+    docs = common.settle(marked(texts, templates, threshold), "license-words")
+    own = docs.select("doc_id", "text_hash", "n_words", places(F.coalesce("phrased", F.array().cast("array<string>"))).alias("found"))
     near = common.settle(
-        near_templates(texts, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("near"), F.max("containment").alias("best")), "license-near"
+        joined(docs, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("near"), F.max("containment").alias("best")), "license-near"
     )
     base_labels = F.array_distinct(F.col("found.label"))
     none = F.array().cast("array<string>")
-    joined = lambda a: F.array_join(F.array_sort(a), ",")
+    listed = lambda a: F.array_join(F.array_sort(a), ",")
     starts = F.col("found.start")
     own = own.join(near, own["doc_id"].eqNullSafe(near["doc_id"]) & (own["text_hash"] == near["text_hash"]), "left").drop(near["doc_id"])
     return own.select(
         "doc_id", "n_words", F.size("found").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        joined(base_labels).alias("base_labels"), joined(F.array_union(base_labels, F.coalesce("near", none))).alias("labels"),
+        listed(base_labels).alias("base_labels"), listed(F.array_union(base_labels, F.coalesce("near", none))).alias("labels"),
         F.when(F.size("found") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
 
