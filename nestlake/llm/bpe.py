@@ -7,8 +7,9 @@ usual byte-to-character table; decoding reverses that table and joins bytes *bef
 it decodes UTF-8, so a character that two tokens share comes back whole.
 
 Defined results: a null text counts as empty and gives no tokens; special-token
-strings in a text are ordinary text; repeated rows give repeated results; other
-columns of the input are ignored, whatever their names.
+strings in a text are ordinary text; a very long text is encoded whole; repeated rows
+give repeated results, so ties cannot arise; a row without doc_id is kept; an empty table
+gives no rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -36,11 +36,13 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, notebooks) a local one is set.
+    Only where the session names none and runs on one machine (tests, notebooks) a local one is set.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")

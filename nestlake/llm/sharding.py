@@ -13,7 +13,8 @@ languages are summed in one place.
 Law: ``rows``; shard sizes in rows differ by at most one. Equal texts with equal
 metadata are neighbours on the curve. Defined results: a null text has size 8 and the
 checksum of the empty one; null metadata counts as the empty value; rows that repeat
-take slots like others; an empty table gives no rows; other columns are ignored.
+take slots like others, as do ties; only the length of a very long text matters; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,12 @@ a host that holds a third of all rows.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no
 tokens and the default verdict (allow); rows that repeat come back as often as they
-came; other columns are ignored. Without labels there are no mined rules.
+came; very long URLs are read whole; of several labels for a page, allow is before block by
+name and the last by name counts; a tie of confidence is allowed; an empty table gives no
+rows; other columns are ignored. Without labels there are no mined rules.
+
+The query has no labels of its own for pages: it takes ``quality`` of the document with the
+page's number, which says nothing about the URL. Outside the list its mined rules are few.
 """
 
 from __future__ import annotations
