@@ -211,3 +211,33 @@ def test_stream_derives_each_file_once(spark, tmp_path):
         os.remove(os.path.join(check, part))
     run()
     assert held() == [(i, i + 1) for i in range(8)]
+
+
+def test_set_identifier(spark):
+    from nestlake.functions.identifiers import with_identifier
+
+    rows = [([("NAME", "a"), ("SMILES", "b"), ("SMILES", "c")],), ([("NAME", "a")],), (None,)]
+    df = spark.createDataFrame(rows, "ids array<struct<type:string,value:string>>")
+    got = [[tuple(i) for i in r[0]] for r in df.select(with_identifier(F.col("ids"), "SMILES", F.lit("x"))).collect()]
+    assert got == [[("NAME", "a"), ("SMILES", "x"), ("SMILES", "c")], [("NAME", "a"), ("SMILES", "x")], [("SMILES", "x")]]
+
+
+def test_combined_warns_of_what_differs(spark, source, tmp_path):
+    other, out = str(tmp_path / "o.parquet"), str(tmp_path / "all.parquet")
+    ds.save(other, ds.Scalars("else", "words", "d1"), [("z", b"9")])
+    with pytest.warns(UserWarning, match="name differs"):
+        made = ds.combined(spark, [source, other], out, dataset_id="d2")
+    assert made == ds.Scalars("name", "words", "d2") and ds.Dataset(spark, out)[-1] == b"9" and len(ds.Dataset(spark, out)) == 8
+    with pytest.raises(ValueError):
+        ds.combined(spark, [], out)
+
+
+def test_shared_keys_are_refused(spark, tmp_path):
+    from nestlake.operators import loading
+
+    twice = spark.createDataFrame([("a", 1), ("a", 2)], "id string, n int")
+    with pytest.raises(ArtifactError, match="share a key"):
+        loading.load(spark, str(tmp_path / "w"), "d", twice, "id")
+    assert loading.loaded(spark, str(tmp_path / "w")) == {} and loading.prune(spark, str(tmp_path / "w"))
+    with pytest.raises(ArtifactError, match="not an id"):
+        loading.load(spark, str(tmp_path / "w"), "../d", twice, "id")
