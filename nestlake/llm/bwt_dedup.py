@@ -48,10 +48,12 @@ from . import common
 
 LENGTH, GRAM = 50, 20
 WIDTH = LENGTH - GRAM + 1
-#: Documents and bytes in a pack about; buckets for each pack; documents from which a minimizer is hot.
-PACK_DOCS, PACK_BYTES, BUCKETS, HOT = 1000, 6 << 20, 4, 2000
-#: Packs that one task of an exchange takes about.
+#: Documents and bytes in a pack about; documents from which a minimizer is hot.
+PACK_DOCS, PACK_BYTES, HOT = 1000, 6 << 20, 2000
+#: Packs that one task of an exchange takes about, and whose pieces a bucket holds at large sizes.
 TASK_PACKS = 4
+#: Buckets that a small table is cut into, as far as it has packs, so that tasks are even.
+LEAST_BUCKETS = 64
 #: Window starts whose hashes are held at once.
 BLOCK = 1 << 17
 #: Bytes of a column from which it is kept in a temporary file between rounds.
@@ -506,7 +508,8 @@ def deduplicated(df: DataFrame, keep_bytes: bool = True) -> DataFrame:
     count, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     packs = max(common.parts_for(count, PACK_DOCS, 1), common.parts_for(size, PACK_BYTES))
     parts = common.parts_for(packs, TASK_PACKS, common.shuffle_parts(spark))
-    n_buckets, n_judges = packs * BUCKETS, packs
+    # Every pack sends a row to every bucket: these rows grow with the square of the packs, so buckets are as few as their tasks allow.
+    n_buckets = n_judges = max(parts, min(packs, LEAST_BUCKETS))
     # One exchange: the three steps below read the same shuffle files.
     packed = docs.withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs))).repartition(parts, "pack")
     asked = packed.groupBy("pack").applyInArrow(report_minimizers(n_judges), "bucket long, pack long, low binary, count binary")

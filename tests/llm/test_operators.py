@@ -399,6 +399,20 @@ def test_bwt_dedup(docs, pack, monkeypatch):
     assert Counter(got) == Counter(naive_cut([(i, utf8(t)) for i, t in TEXTS]))
 
 
+def test_bwt_dedup_deals_packs_to_few_buckets(spark, docs, monkeypatch):
+    """Each pack sends a row to each bucket: four buckets a pack made 36 million rows at 6 GB."""
+    asked = []
+    for name in ("report_minimizers", "send_pieces"):
+        monkeypatch.setattr(bwt_dedup, name, lambda *n, f=getattr(bwt_dedup, name): asked.extend(n) or f(*n))
+    monkeypatch.setattr(bwt_dedup, "PACK_DOCS", 1)
+    many = docs.unionByName(docs.limit(10).crossJoin(spark.range(30).withColumnRenamed("id", "k")).withColumn("doc_id", F.expr("1000 + 30 * doc_id + k")).drop("k"))
+    rows = [(r.doc_id, utf8(r.text)) for r in many.select("doc_id", "text").collect()]
+    packs = sum(i is not None for i, _ in rows)
+    got = [tuple(r) for r in bwt_dedup.deduplicated(many, keep_bytes=False).collect()]
+    assert packs > 300 and len(asked) == 3 and max(asked) <= packs // 3, asked
+    assert Counter(got) == Counter(naive_cut(rows))
+
+
 def test_hot_minimizers_give_the_same_spans():
     texts = [utf8(t) for _, t in TEXTS[11:14]] + [b"z" * 300, b"y" + b"z" * 200]
     table = pa.table({"pack": [0] * 5, "doc_id": list(range(5)), "text": texts})
