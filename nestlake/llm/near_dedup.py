@@ -18,8 +18,8 @@ Steps:
  5. leaders may hide two followers from each other. A follower at SURE or more of its leader
     has all its partners in the leader's family: they are described by their edits against
     the leader, which gives the similarity of two followers exactly (see ``families``); links
-    that need no shared edit follow from the best document of a family, others from a prefix
-    filter on edits. The other followers of a key are compared with each other (see
+    that need no shared edit follow from the best document of a family, others from the edits
+    themselves (``meeting``), in families over GROUP_DOCS after a prefix filter on them. The other followers of a key are compared with each other (see
     ``settled_groups``): by MATCHES of HASHES minhashes in groups up to GROUP_DOCS, which a pair
     at 0.8 misses with probability 2e-8, then on the full sets; larger groups elect new leaders
     until they are small.
@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,12 +57,14 @@ KIN = 40
 SURE = 100 + KIN - PERCENT
 #: Equal minhashes (of their low bytes) that two followers need before their sets are compared.
 MATCHES = 100
-#: Documents up to which what is left of a key is compared in one task.
+#: Documents up to which what is left of a key, or a family, is compared in one task.
 GROUP_DOCS = 1_000
 #: Documents whose keys are folded together before they are sent on.
 PACK_DOCS = 5_000
 #: Followers that one task compares with a copy of their leader.
 GROUP = 32
+#: Edits of a family that are counted at once.
+COLUMNS = 2_048
 #: Documents of an edit that are listed together.
 LISTED = 4_000
 #: Bytes over which word hashes are computed at once.
@@ -224,7 +227,8 @@ def _table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
 
 
 def _kind(fields: list[tuple]) -> str:
-    return ", ".join(f"{n} {'long' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'binary'}" for n, t in fields)
+    names = {pa.int64(): "long", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{n} {names.get(t, 'binary')}" for n, t in fields)
 
 
 def report_blocks(buckets: int):
@@ -279,7 +283,8 @@ def from_planes(data: bytes) -> np.ndarray:
 
 LOW = (1 << 40) - 1
 LED = [("bucket", pa.int64()), *((n, pa.binary()) for n in ("key", "doc", "size", "leader", "leader_size"))]
-EDGES = [("follower", pa.bool_()), *((n, pa.int64()) for n in ("key", "leader", "leader_size", "doc", "size"))]
+KEYED = [*((n, pa.int64()) for n in ("leader", "leader_size", "doc", "size")), ("keys", pa.list_(pa.int64()))]
+EDGES = [("follower", pa.bool_()), *KEYED]
 
 
 def lead_pack(docs: np.ndarray, sizes: np.ndarray, key: np.ndarray, buckets: int) -> list[tuple]:
@@ -298,6 +303,7 @@ def lead_pack(docs: np.ndarray, sizes: np.ndarray, key: np.ndarray, buckets: int
         at = heads[cut[k] : cut[k + 1]]
         rows.append((k, five(key[at] & LOW), planes(docs[at]), planes(sizes[at]), b"", b""))
     rest = np.flatnonzero(~first & (docs != docs[leader]))  # a repeated row says nothing new
+    rest = rest[np.lexsort((docs[rest], docs[leader[rest]]))]
     for at in np.array_split(rest, len(rest) // 100_000 + 1) if len(rest) else ():
         rows.append((spread, *map(planes, (key[at], docs[at], sizes[at], docs[leader[at]], sizes[leader[at]]))))
     return rows
@@ -319,6 +325,15 @@ def led(block_buckets: int, buckets: int):
     return run
 
 
+def gathered(leader: np.ndarray, leader_size: np.ndarray, doc: np.ndarray, size: np.ndarray, key: np.ndarray) -> list[pa.Array]:
+    """Columns of KEYED: one row for a leader and a document, with all keys that tie them."""
+    order = np.lexsort((key, doc, leader))
+    leader, leader_size, doc, size, key = (np.ascontiguousarray(c[order], np.int64) for c in (leader, leader_size, doc, size, key))
+    first = np.flatnonzero(np.concatenate([[True], (leader[1:] != leader[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
+    keys = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(key))
+    return [*(pa.array(c[first]) for c in (leader, leader_size, doc, size)), keys]
+
+
 def follow(buckets: int):
     """In a bucket leaders of a key follow the first of them; followers only pass."""
 
@@ -328,7 +343,7 @@ def follow(buckets: int):
         doc, size = (np.concatenate([from_planes(x) for x in c]) for c in (doc, size))
         if bucket >= buckets:
             key, leader, leader_size = (np.concatenate([from_planes(x) for x in c]) for c in (key, leader, leader_size))
-            cols = [np.ones(len(key), bool), key, leader, leader_size, doc, size]
+            cols = gathered(leader, leader_size, doc, size, key)
         else:
             key = from_five(b"".join(key)).view(np.int64)
             order = np.lexsort((doc, key))
@@ -336,30 +351,53 @@ def follow(buckets: int):
             first = np.concatenate([[True], key[1:] != key[:-1]])
             lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
             rest = np.flatnonzero(doc != doc[lead])
-            cols = [np.zeros(len(rest), bool), key[rest] | bucket << 40, doc[lead[rest]], size[lead[rest]], doc[rest], size[rest]]
-        return pa.table([pa.array(np.ascontiguousarray(c), t) for c, (_, t) in zip(cols, EDGES, strict=True)], names=[n for n, _ in EDGES])
+            cols = gathered(doc[lead[rest]], size[lead[rest]], doc[rest], size[rest], key[rest] | bucket << 40)
+        return pa.table([pa.array([bucket >= buckets] * len(cols[0]), pa.bool_()), *cols], names=[n for n, _ in EDGES])
 
     return run
 
 
+def flat(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """leader, leader_size, doc, size and key of a table with KEYED, one element for each key."""
+    keys = table.column("keys").combine_chunks()
+    n = pa.compute.list_value_length(keys).to_numpy(zero_copy_only=False)
+    return *(np.repeat(table.column(c).to_numpy(), n) for c in ("leader", "leader_size", "doc", "size")), keys.flatten().to_numpy(zero_copy_only=False)
+
+
+def follow_on(below: pa.Table, above: pa.Table) -> pa.Table:
+    """A follower of its pack's leader follows whom that leader follows under the same key.
+
+    below: followers of a pack; above: leaders of that pack under theirs. A pack has one leader for a key.
+    """
+    leader, leader_size, doc, size, key = flat(below)
+    top, top_size, _, _, known = flat(above)
+    order = np.argsort(known)
+    top, top_size, known = top[order], top_size[order], known[order]
+    at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+    if len(known):
+        led_on = known[at] == key
+        leader, leader_size = np.where(led_on, top[at], leader), np.where(led_on, top_size[at], leader_size)
+    return pa.table(gathered(leader, leader_size, doc, size, key), names=[n for n, _ in KEYED])
+
+
 def candidate_edges(reps: DataFrame) -> DataFrame:
-    """key, leader, leader_size, doc, size: every document of a shared key under the key's first one."""
+    """leader, leader_size, doc, size, keys: every document of a shared key under the key's first one."""
     spark = reps.sparkSession
     n, count = common.shuffle_parts(spark), reps.count()
     packs, spread = common.parts_for(count, PACK_DOCS), max(n, common.parts_for(count, 50_000))
     block_buckets, buckets = spread, 4 * spread
+    pack = lambda c: F.pmod(F.xxhash64(c), F.lit(packs)).alias("pack")
     with common.scratch(spark) as keep:
-        rows = reps.withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs))).select("pack", "doc_id", "n_shingles", "blocks").groupBy("pack")
+        rows = reps.select(pack("doc_id"), "doc_id", "n_shingles", "blocks").groupBy("pack")
         asked = rows.applyInArrow(report_blocks(block_buckets), _kind(BLOCKS))
         told = common.settle(asked.groupBy("bucket").applyInArrow(shared_blocks, _kind(SHARED)), "near-shared")
         keys = rows.cogroup(told.groupBy("pack")).applyInArrow(led(block_buckets, buckets), _kind(LED))
         edges = common.settle(keys.groupBy("bucket").applyInArrow(follow(buckets), _kind(EDGES)), "near-edges")
         heads = edges.filter("not follower").drop("follower")
-        # A follower of a pack's leader follows whom that leader follows under the same key.
-        above = heads.select("key", F.col("doc").alias("leader"), F.col("leader").alias("top"), F.col("leader_size").alias("top_size"))
-        below = edges.filter("follower").join(above, ["key", "leader"], "left")
-        below = below.select("key", F.coalesce("top", "leader").alias("leader"), F.coalesce("top_size", "leader_size").alias("leader_size"), "doc", "size")
-        return keep(heads.unionByName(below), "near-keyed")
+        above, below = heads.select("*", pack("doc")), edges.filter("follower").drop("follower").select("*", pack("leader"))
+        below = below.groupBy("pack").cogroup(above.groupBy("pack")).applyInArrow(follow_on, _kind(KEYED))
+        whole = heads.unionByName(below).groupBy("leader", "leader_size", "doc", "size").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+        return keep(whole, "near-keyed")
 
 
 def fits(a: str, b: str, percent: int = PERCENT):
@@ -481,10 +519,86 @@ def certain(rows: DataFrame) -> DataFrame:
     return common.settle(fit.select(F.col("top.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-certain")
 
 
+def meeting(docs: np.ndarray, roots: np.ndarray, worth: np.ndarray, need: np.ndarray, goal: int, edits: list[np.ndarray]) -> np.ndarray:
+    """Pairs (a, b) of a family, of different components, with worth a + worth b + (100 + PERCENT) * |Ea and Eb| >= goal.
+
+    An edit that one component alone has, or a document with fewer other edits than it needs, is in no such pair.
+    """
+    none = np.zeros((0, 2), np.int64)
+    token, own = np.concatenate([*edits, np.zeros(0, np.int64)]), np.repeat(np.arange(len(docs)), list(map(len, edits)))
+    order = np.argsort(token, kind="stable")
+    token, own = token[order], own[order]
+    while True:
+        if not len(token):
+            return none
+        heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        held = roots[own]
+        several = np.minimum.reduceat(held, heads) < np.maximum.reduceat(held, heads)
+        on = np.repeat(several, np.diff(np.append(heads, len(token))))
+        able = np.bincount(own[on], minlength=len(docs)) >= need
+        on &= able[own]
+        if on.all():
+            break
+        token, own = token[on], own[on]
+    left, row = np.unique(own, return_inverse=True)
+    column = np.cumsum(np.concatenate([[False], token[1:] != token[:-1]]))
+    shared = np.zeros((len(left), len(left)), np.float32)
+    cut = np.searchsorted(column, np.arange(0, column[-1] + 1 + COLUMNS, COLUMNS))
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        has = np.zeros((len(left), COLUMNS), np.float32)
+        has[row[x:y], column[x:y] % COLUMNS] = 1
+        shared += has @ has.T
+    w, r = worth[left], roots[left]
+    enough = w[:, None] + w[None, :] + (100 + PERCENT) * shared.astype(np.int64) >= goal
+    i, j = np.nonzero(enough & (r[:, None] != r[None, :]) & (docs[left][:, None] < docs[left][None, :]))
+    return np.stack([docs[left][i], docs[left][j]], 1) if len(i) else none
+
+
+def met_in_families(able: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b) of ``meeting`` for each base of able, whose whole family meets in one task: no edit is sent on."""
+    spark = able.sparkSession
+    common.arrow_rows(spark)
+    order = ["base", "role", "doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, leads, members, edits = None, [], [], {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if members:
+                docs, roots, worth, need, size = np.array(members, np.int64).T
+                found = meeting(docs, roots, worth, need, (100 + PERCENT) * int(size[0]), [edits[d] for d in docs.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], ["a", "b"])
+
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                sets = shingle_sets(batch.column(7), words)
+            for base, role, doc, *told, own in zip(*(batch.column(i).to_pylist() for i in range(7)), sets, strict=True):
+                if base != key:
+                    yield from done()
+                    key, leads, members, edits = base, [], [], {}
+                if role == 0:
+                    leads.append(own)
+                    continue
+                members.append((doc, *told))
+                for other in leads:  # rows that share a doc_id are one document
+                    diff = np.setxor1d(own, other, assume_unique=True).view(np.int64)
+                    edits[doc] = np.union1d(edits[doc], diff) if doc in edits else diff
+        yield from done()
+        common.release_memory()
+
+    none = F.lit(0).cast("long")
+    followers = able.select("base", F.lit(1).alias("role"), "doc_id", "root", "worth", "need", "size")
+    leaders = able.select("base").distinct().select("base", F.lit(0).alias("role"), F.col("base").alias("doc_id"), *[none.alias(c) for c in ("root", "worth", "need", "size")])
+    met = followers.unionByName(leaders).join(texts.select("doc_id", "text"), "doc_id").select(*order, "root", "worth", "need", "size", "text")
+    met = met.repartition(common.shuffle_parts(spark), "base").sortWithinPartitions(*order)
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def sharing_edits(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Pairs (a, b) of one base and different components that share enough edits for a prefix filter to keep them.
+    """Pairs (a, b) of one base and different components that share enough edits to be similar, or in large families for a prefix filter to keep them.
 
-    A pair needs t = ceil((K * |base| - worth x - worth y) / K) shared edits, so a document with
+    A family of up to GROUP_DOCS documents is compared in one task (see ``meeting``). In others
+    a pair needs t = ceil((K * |base| - worth x - worth y) / K) shared edits, so a document with
     fewer edits than it needs for the best document of another component is out. Edits are
     ordered by frequency under their base, rarest first; x can only share t of them if
     it shares one of its first |Ex| - t + 1, and enough must be left behind it.
@@ -498,14 +612,20 @@ def sharing_edits(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     shared = (F.col("worth") + PERCENT * F.col("n")) / k
     able = (
         rows.join(top, "base").filter("base != doc_id")
-        .withColumn("need", F.greatest(F.lit(1), F.ceil((k * F.col("size") - F.col("worth") - F.when(F.col("root") == F.col("one_root"), F.col("other")).otherwise(F.col("one"))) / k)))
+        .withColumn("need", F.greatest(F.lit(1), F.ceil((k * F.col("size") - F.col("worth") - F.when(F.col("root") == F.col("one_root"), F.col("other")).otherwise(F.col("one"))) / k)).cast("long"))
         .withColumn("edits", F.col("n") + F.col("size") - 2 * shared.cast("long"))
         .filter("need <= edits").select("base", "doc_id", "size", "root", "worth", "need", "edits")
     )
     able = common.settle(able, "near-able")
+    members = common.settle(able.groupBy("base").agg(F.count(F.lit(1)).alias("n")), "near-members")
+    large = common.settle(members.filter(F.col("n") > GROUP_DOCS).select("base"), "near-large")
+    met = met_in_families(able.join(large, "base", "left_anti"), texts, words)
+    largest = members.agg(F.max("n")).first()[0] or 1
+    if largest <= GROUP_DOCS:
+        return common.settle(met, "near-pairs")
+    able = common.settle(able.join(large, "base", "left_semi"), "near-able")
     edits = compared(able.select(F.col("base").alias("a"), F.col("doc_id").alias("b")), texts, words, edits=True).withColumnRenamed("a", "base").withColumnRenamed("b", "doc_id")
     # Documents of an edit come in lists of bounded length, whatever the family's size, and only lists are counted together.
-    largest = able.groupBy("base").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     lists = edits.groupBy("base", "token", F.pmod(F.xxhash64("doc_id"), F.lit(-(-largest // LISTED))).alias("salt")).agg(F.collect_list("doc_id").alias("docs"))
     counted = lists.withColumn("times", F.sum(F.size("docs")).over(Window.partitionBy("base", "token"))).filter("times > 1")
     # Edits that one document has alone order first and match nothing: only their number counts.
@@ -521,7 +641,7 @@ def sharing_edits(rows: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     other = heads.select("base", "token", F.col("doc_id").alias("y"), F.col("root").alias("y_root"), F.col("worth").alias("y_worth"), F.col("left").alias("y_left"))
     enough = F.col("worth") + F.col("y_worth") + k * F.least("left", "y_left") >= k * F.col("size")
     found = heads.join(common.settle(other, "near-others"), ["base", "token"]).filter((F.col("root") != F.col("y_root")) & (F.col("doc_id") < F.col("y")) & enough)
-    return common.settle(found.select(F.col("doc_id").alias("a"), F.col("y").alias("b")).distinct(), "near-pairs")
+    return common.settle(met.unionByName(found.select(F.col("doc_id").alias("a"), F.col("y").alias("b"))).distinct(), "near-pairs")
 
 
 def open_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -622,7 +742,7 @@ def settled_groups(stats: DataFrame, links: DataFrame, roots: DataFrame, keyed:
     loose = common.settle(loose, "near-loose")
     if not loose.limit(1).count():
         return stats, links, roots
-    rest = open_groups(keyed.join(loose, ["leader", "doc"]).select("key", "doc", "size"), roots)
+    rest = open_groups(keyed.join(loose, ["leader", "doc"]).select(F.explode("keys").alias("key"), "doc", "size"), roots)
     count = 1
     while rest.limit(1).count():
         few = centres_of(rest.filter(F.col("n") <= GROUP_DOCS).select("key", "doc", "size", "root"), lows)

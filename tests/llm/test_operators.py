@@ -523,6 +523,58 @@ def test_near_dedup_in_dense_families(spark, words):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.report(df, words).collect()} == naive_components(rows, words)
 
 
+def near_copies(spark, n=60):
+    """Copies of one text of 200 words, each with a few edits from a small store, in files of four partitions."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        text = [f"w{k}" for k in range(200)]
+        for at in rng.integers(0, 200, rng.integers(1, 30)):
+            text[at] = f"e{rng.integers(0, 4)}"
+        rows.append((i, " ".join(text)))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_near_dedup_keeps_one_row_for_a_leader_and_a_document(spark, monkeypatch):
+    """However many keys tie them, also through the leader of a pack."""
+    monkeypatch.setattr(near_dedup, "PACK_DOCS", 20)
+    rows, df = near_copies(spark)
+    keyed = near_dedup.candidate_edges(near_dedup.signatures(df, 2)).collect()
+    assert len({(r.leader, r.doc) for r in keyed}) == len(keyed) and max(len(r["keys"]) for r in keyed) > 20
+    ties = [(k, r.doc, r.leader) for r in keyed for k in r["keys"]]
+    assert len({(k, d) for k, d, _ in ties}) == len(ties)  # of a key, each document follows one leader
+    lead = {}
+    assert all(lead.setdefault(k, top) == top < d for k, d, top in ties)
+    sizes = {i: len(s) for i, s in enumerate(near_dedup.shingle_sets(pa.array([t for _, t in rows]), 2))}
+    assert all((r.leader_size, r.size) == (sizes[r.leader], sizes[r.doc]) for r in keyed)
+
+
+def test_near_dedup_sends_no_edits_of_a_family_that_fits_a_task(spark, monkeypatch):
+    """Lists of edits grew faster than the families."""
+    sent, met = [], []
+    monkeypatch.setattr(near_dedup, "compared", lambda *a, f=near_dedup.compared, **k: sent.append(k.get("edits")) or f(*a, **k))
+    monkeypatch.setattr(near_dedup, "sharing_edits", lambda *a, f=near_dedup.sharing_edits: met.append(f(*a)) or met[-1])
+    rows, df = near_copies(spark)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.report(df, 2).collect()} == naive_components(rows, 2)
+    assert met and True not in sent
+
+
+def test_meeting_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 9, 40):
+        edits = [np.unique(rng.integers(0, 150 if n == 40 else 60, rng.integers(0, 90))) for _ in range(n)]
+        docs, roots, worth = rng.permutation(n) * 7, rng.integers(0, 5, n), rng.integers(0, 6000, n)
+        goal = 12_000
+        like = lambda i, j: roots[i] != roots[j] and worth[i] + worth[j] + 180 * len(np.intersect1d(edits[i], edits[j])) >= goal  # noqa: B023, E731
+        want = {(min(docs[i], docs[j]), max(docs[i], docs[j])) for i in range(n) for j in range(i) if like(i, j)}
+        need = np.array([max(1, math.ceil((goal - worth[i] - worth.max()) / 180)) for i in range(n)], np.int64)
+        # Links that need no shared edit are found before.
+        want = {(a, b) for a, b in want if worth[docs.tolist().index(a)] + worth[docs.tolist().index(b)] < goal}
+        got = near_dedup.meeting(docs, roots, worth, need, goal, edits)
+        assert set(map(tuple, got.tolist())) == want and len(got) == len(want)
+        assert n < 9 or want
+
+
 @pytest.mark.parametrize("small", [1000, 1])
 def test_near_dedup_under_foreign_leaders(spark, monkeypatch, small):
     """Documents with the smallest ids hold just the shingles behind the keys, so they lead every key and are no kin."""
