@@ -193,6 +193,15 @@ def test_mixing_blocks_grow_with_the_table(spark, monkeypatch):
     assert max(r._place for r in got) == 49 and all(r._release <= r._slot < r._deadline for r in got)
 
 
+def test_mixing_is_the_same_with_and_without_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"s{i % 7 % 3}") for i in range(500)], "doc_id long, source string")
+    got = []
+    for most in (mixing.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+        got.append(sorted(map(tuple, mixing.placed(df).drop("_row").collect())))
+    assert got[0] == got[1] and len(got[0]) == 500
+
+
 @pytest.mark.parametrize("weights", [{"hot": 0.7} | {f"s{k}": 0.001 for k in range(300)}, {"a": 0.504, "b": 0.496}, {"hot": 0.1396} | {f"s{k}": 0.8604 / 19 for k in range(19)}])
 def test_mixing_keeps_the_given_weights(spark, weights):
     """Less than one block from the exact share, at every slot until a source runs out."""
