@@ -351,7 +351,9 @@ def follow(buckets: int):
             first = np.concatenate([[True], key[1:] != key[:-1]])
             lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
             rest = np.flatnonzero(doc != doc[lead])
-            cols = gathered(doc[lead[rest]], size[lead[rest]], doc[rest], size[rest], key[rest] | bucket << 40)
+            # A row for each key here: how many of a pair meet in a bucket depends on the number of buckets.
+            cols = [*(pa.array(np.ascontiguousarray(c, np.int64)) for c in (doc[lead[rest]], size[lead[rest]], doc[rest], size[rest]))]
+            cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rest) + 1), pa.int32()), pa.array(key[rest] | bucket << 40)))
         return pa.table([pa.array([bucket >= buckets] * len(cols[0]), pa.bool_()), *cols], names=[n for n, _ in EDGES])
 
     return run
