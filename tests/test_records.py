@@ -241,3 +241,40 @@ def test_shared_keys_are_refused(spark, tmp_path):
     assert loading.loaded(spark, str(tmp_path / "w")) == {} and loading.prune(spark, str(tmp_path / "w"))
     with pytest.raises(ArtifactError, match="not an id"):
         loading.load(spark, str(tmp_path / "w"), "../d", twice, "id")
+
+
+def counting(df, seen):
+    """``df``, with each evaluation of a row added to ``seen``."""
+
+    def rows(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(rows, df.schema)
+
+
+def test_load_evaluates_records_once(spark, tmp_path):
+    from nestlake.operators import loading
+
+    at, seen = str(tmp_path / "w"), spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([("a", 1, [(1.5,), None]), ("b", 2, None), (None, None, [])], "id string, n int, xs array<struct<v:double>>")
+    first = loading.load(spark, at, "d", counting(df, seen), "id")
+    assert (first.state, seen.value) == ("written", 3) and art.glob(spark, f"{at}/staged/*") == []
+    assert loading.load(spark, at, "d", df, "id").state == loading.load(spark, at, "d", df, "id", stage=False).state == "skipped"
+    assert sorted(map(tuple, loading.table(spark, at, "record").select("id", "n", "dataset_id").collect()), key=str) == [("a", 1, "d"), ("b", 2, "d"), (None, None, "d")]
+    assert sorted(map(tuple, loading.table(spark, at, "record.xs").select("ordinal", "absent", "v").collect())) == [(0, False, 1.5), (1, True, None)]
+    hollow = df.select("id", F.when(F.col("n") > 0, F.struct()).alias("nothing"))
+    assert [loading.load(spark, at, "e", hollow, "id").state for _ in range(2)] == ["written", "skipped"]
+    broken = df.withColumn("n", F.raise_error(F.lit("no")).cast("int"))
+    assert loading.load_all(spark, at, {"f": lambda: broken}, "id")[0].state == "failed" and art.glob(spark, f"{at}/staged/*") == []
+
+
+def test_first_orders_are_those_of_all(spark):
+    from nestlake import frames
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    want = frames.orders(spark, sf).filter("o_orderstatus = 'F'").orderBy("o_orderkey").limit(5)
+    assert frames.first_orders(spark, sf, "F", 5).orderBy("o_orderkey").collect() == want.collect() and want.count() == 5
