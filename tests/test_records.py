@@ -278,3 +278,15 @@ def test_first_orders_are_those_of_all(spark):
         pytest.skip("no tables")
     want = frames.orders(spark, sf).filter("o_orderstatus = 'F'").orderBy("o_orderkey").limit(5)
     assert frames.first_orders(spark, sf, "F", 5).orderBy("o_orderkey").collect() == want.collect() and want.count() == 5
+
+
+def test_warehouse_nests_orders_once(spark, monkeypatch):
+    from nestlake import frames
+    from nestlake.record_queries import order_warehouse
+
+    sf, seen, orders = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0), frames.orders
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    monkeypatch.setattr(frames, "orders", lambda *a: counting(orders(*a), seen))
+    assert [o.state for o in order_warehouse(spark, sf)[1]] == ["written"] * 3
+    assert seen.value == frames.table(spark, sf, "orders").count()
