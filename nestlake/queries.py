@@ -529,7 +529,7 @@ def role_pivot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import relational
 
     df = frames.customers(spark, sf_dir).select("c_custkey", "c_name", "orders")
-    back = relational.recomposed(relational.decomposed(df, "c_custkey"), df.schema)
+    back = relational.recomposed(relational.decomposed(df, "c_custkey", owner="_record"), df.schema, owner="_record")
     count = F.coalesce(F.size("orders"), F.lit(0)).cast("long").alias("orders")
     rows = back.select("c_custkey", "c_name", count, F.explode_outer("orders").alias("o")).select("c_custkey", "c_name", "orders", "o.o_orderkey", "o.o_totalprice", F.explode_outer("o.lines").alias("l"))
     return rows.select("c_custkey", "c_name", "orders", "o_orderkey", "o_totalprice", "l.l_linenumber", "l.l_partkey", "l.l_quantity")

@@ -290,3 +290,31 @@ def test_warehouse_nests_orders_once(spark, monkeypatch):
     monkeypatch.setattr(frames, "orders", lambda *a: counting(orders(*a), seen))
     assert [o.state for o in order_warehouse(spark, sf)[1]] == ["written"] * 3
     assert seen.value == frames.table(spark, sf, "orders").count()
+
+
+def test_round_trip_by_owner(spark):
+    schema = "id string, s struct<a:long, l:array<struct<v:long, w:array<struct<q:string>>, m:map<string,struct<n:long>>>>>, m map<string,struct<n:long>>, tags array<string>"
+    rows = [("1", (5, [(1, [("x",), ("y",)], {"i": (4,)}), (2, None, None), None]), {"k": (7,)}, ["t"]), ("2", None, None, None), ("3", (None, [(3, None, {"z": None})]), None, []), (None, (6, None), None, None)]
+    df = spark.createDataFrame(rows, schema)
+    made = relational.decomposed(df, "id", owner="of")
+    back = relational.recomposed(made, df.schema, owner="of")
+    flat = lambda d: sorted(map(str, d.select(df.columns).collect()))
+    assert back.columns == relational.recomposed(relational.decomposed(df, "id"), df.schema).columns
+    assert flat(back) == flat(relational.recomposed(relational.decomposed(df, "id"), df.schema)) == flat(df)
+    listed = lambda d: sorted(map(str, d.collect()))
+    twice = spark.createDataFrame([("a", [([(1,)],), ([(2,)],)])] * 2, "id string, xs array<struct<ys:array<struct<v:int>>>>")
+    assert listed(relational.recomposed(relational.decomposed(twice, "id", owner="of"), twice.schema, owner="of")) == listed(relational.recomposed(relational.decomposed(twice, "id"), twice.schema))
+    nameless = df.filter("id = '1'").withColumn("id", F.lit(None).cast("string"))
+    assert flat(relational.recomposed(relational.decomposed(nameless, "id", owner="of"), df.schema, owner="of")) == flat(nameless)
+    with pytest.raises(ValueError, match="has a field"):
+        relational.decomposed(df, "id", owner="V")
+
+
+def test_round_trip_shuffles_lines_twice_only(spark):
+    from nestlake.queries import QUERIES
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    plan = QUERIES["role_pivot_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keys = {k.split("#")[0] for k in plan.replace("(", " ").split() if "#" in k and f"hashpartitioning({k}" in plan}
+    assert keys <= {"l_orderkey", "o_orderkey", "o_custkey", "c_custkey", "_record"} and "l_orderkey" in keys
